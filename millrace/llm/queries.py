@@ -4,14 +4,27 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, token_counts
+from . import byte_bpe, substring_dedup, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a repeated window of 35 words, removed."""
+    out = substring_dedup.repeated_words(_table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that stand in a repeated string of 200 bytes, removed."""
+    out = suffix_dedup.repeated_bytes(_table(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document under byte_bpe_50k.json."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -23,8 +36,35 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op7_token_counts": op7_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_substring_dedup": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), win AS (
+            SELECT rid, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+            FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+        ), rep AS (
+            SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c > 1
+        ), word AS (
+            SELECT rid, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d
+        ), cov AS (
+            SELECT word.rid, p, word,
+                   coalesce(max(CASE WHEN rep.i IS NOT NULL THEN 1 ELSE 0 END)
+                            OVER (PARTITION BY word.rid ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone
+            FROM word LEFT JOIN rep ON rep.rid = word.rid AND rep.i = word.p
+        ), per AS (
+            SELECT rid, count(*) AS n_words, sum(gone)::BIGINT AS n_removed,
+                   coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE gone = 0), '') AS kept
+            FROM cov GROUP BY rid
+        )
+        SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN per USING (rid)""",
+}
