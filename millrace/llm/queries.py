@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, substring_dedup, suffix_dedup, token_counts
+from . import byte_bpe, media, substring_dedup, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,19 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a content-addressed archive and read back."""
+    archive = warc.write_archive(_table(spark, sf_dir, "pages"), revisit_from=1000)
+    out = warc.read_records(spark, archive)
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), "record_type", "refers_to")
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a media member of an archive, read back through the data source, with features."""
+    folder = media.write_archives(_table(spark, sf_dir, "documents"))
+    return media.features(media.read_archives(spark, folder))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document under byte_bpe_50k.json."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -38,6 +51,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_warc": op5_warc,
+    "op6_media_columns": op6_media_columns,
     "op7_token_counts": op7_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
 }
@@ -67,4 +82,13 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN per USING (rid)""",
+    "op5_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS response_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM response_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM response_id THEN response_id END AS refers_to
+        FROM r""",
 }
