@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, media, mixing, quality, substring_dedup, suffix_dedup, token_counts, warc
+from . import byte_bpe, lm_score, media, mixing, quality, substring_dedup, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of those whose crc32(doc_id) mod 5 is not 1."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    out = lm_score.score(docs, train=~held_out)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -69,6 +77,7 @@ QUERIES = {
     "op6_media_columns": op6_media_columns,
     "op7_token_counts": op7_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE: dict[str, str] = {

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENT = "bucket int, chunk int, blob binary"
@@ -47,11 +47,11 @@ def layout(docs: DataFrame, text_col: str, chunk_bytes: int, bucket_bytes: int)
     return Layout(total, max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes)))
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, chunks: int) -> DataFrame:
-    """(chunk, id, text), one exchange; rows with equal id and text share a chunk."""
-    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunks: int, **more: Column) -> DataFrame:
+    """(chunk, id, text, ...), one exchange; rows with equal id and text share a chunk."""
+    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(c.alias(k) for k, c in more.items()))
     chunk = F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")
-    return cut.select(chunk.alias("chunk"), "id", "text").repartition(max(1, chunks // 2), "chunk")
+    return cut.select(chunk.alias("chunk"), "id", "text", *more).repartition(max(1, chunks // 2), "chunk")
 
 
 def _sent(chunk: int, found: list[tuple[int, bytes]]) -> pa.Table:
