@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lm_score, media, mixing, quality, substring_dedup, suffix_dedup, token_counts, warc
+from . import byte_bpe, lm_score, media, minhash, mixing, quality, substring_dedup, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document: five-word shingles, similarity 0.8 or more."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded by the ranks of byte_bpe_50k.tiktoken."""
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -76,6 +81,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_media_columns": op6_media_columns,
     "op7_token_counts": op7_token_counts,
+    "op8_minhash": op8_minhash,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_lm_score": op10_lm_score,
 }
