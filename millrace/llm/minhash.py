@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
@@ -201,7 +201,33 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, class_id (the smallest id of its class), class_rows, n_shingles, keep (one row of the class)."""
+    """Per row: id, class_id (the smallest id of its class), class_rows, n_shingles, keep (the class has this smallest id)."""
+    named = classified(docs, similarity, gram, bands, rows, id_col, text_col)
+    order = F.struct(F.col("id").isNull().alias("unknown"), F.col("id"))
+    classes = named.where("n > 0").groupBy("comp").agg(F.min(order)["id"].alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
+    out = named.join(classes.withColumnRenamed("comp", "of"), (F.col("comp") == F.col("of")) & (F.col("n") > 0), "left")
+    return out.select(
+        F.col("id").alias(id_col), F.when(F.col("of").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("class_rows", F.lit(1)).alias("class_rows"), F.col("n").alias("n_shingles"),
+        (F.col("of").isNull() | F.col("id").eqNullSafe(F.col("class_id"))).alias("keep"),
+    )
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", **more: int) -> DataFrame:
+    """``docs`` with one row of each class, that with the smallest id; texts without words all stay."""
+    named = classified(docs, similarity, id_col=id_col, text_col=text_col, **more)
+    order = F.struct(F.col("id").isNull().alias("unknown"), F.col("id"), F.col("tid"))
+    first = named.where("n > 0").groupBy("comp").agg(F.min(order).alias("w")).select(F.col("w")["id"].alias("_w_id"), F.col("w")["tid"].alias("_w_tid"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumn("_tid", F.unhex(F.sha2(text.cast("binary"), 256)))
+    won = rows.join(first, (F.col("_tid") == F.col("_w_tid")) & F.col(id_col).eqNullSafe(F.col("_w_id")))
+    orderable = [F.col(c) for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    won = won.withColumn("_nth", F.row_number().over(Window.partitionBy("_tid").orderBy(*orderable))).where("_nth = 1")
+    return won.select(docs.columns).unionByName(docs.where(~text.rlike(WORD)))
+
+
+def classified(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, tid (a digest of its text), n (its shingles), comp (its class's name)."""
     registers = bands * rows
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("tid"), text.alias("text"))
@@ -251,12 +277,4 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, gram: int =
         split = split.where(F.col("at") > F.element_at(F.split("band", "-"), -1).cast("int"))
         open_entries = split.select("tid", F.concat_ws("-", "band", F.col("at").cast("string")).alias("band"), F.xxhash64("key", "other").alias("key"))
 
-    named = signed.join(comps, "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
-    order = F.struct(F.col("id").isNull().alias("unknown"), F.col("id"))
-    classes = named.where("n > 0").groupBy("comp").agg(F.min(order)["id"].alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
-    out = named.join(classes.withColumnRenamed("comp", "of"), (F.col("comp") == F.col("of")) & (F.col("n") > 0), "left")
-    return out.select(
-        F.col("id").alias(id_col), F.when(F.col("of").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_rows", F.lit(1)).alias("class_rows"), F.col("n").alias("n_shingles"),
-        (F.col("of").isNull() | F.col("id").eqNullSafe(F.col("class_id"))).alias("keep"),
-    )
+    return signed.join(comps, "tid", "left").select("id", "tid", "n", F.coalesce("comp", "tid").alias("comp"))

@@ -29,8 +29,9 @@ a character, so it is binary.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
@@ -119,12 +120,13 @@ def _resolve_ties(blobs: list[bytes]) -> list[bytes | None]:
     return out
 
 
-def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, span_starts and span_ends (maximal removed runs, in bytes), kept (binary)."""
+def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, span_starts and span_ends (maximal removed runs, in bytes), kept (binary),
+    and ``row``, a struct of the columns in ``keep``."""
     if length < 1:
         raise ValueError("length must be positive")
     plan = rounds.layout(docs, text_col, chunk_bytes, bucket_bytes)
-    corpus = rounds.chunked(docs, id_col, text_col, plan.chunks)
+    corpus = rounds.chunked(docs, id_col, text_col, plan.chunks, **({"row": F.struct(*keep)} if keep else {}))
     bits, buckets = plan.filter_bits, plan.buckets
 
     def ranks(rows: pa.Table, _: list[bytes]):
@@ -186,7 +188,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             "id": rows.column("id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
             "span_starts": pa.ListArray.from_arrays(spans, pa.array(first - offsets[of], pa.int64())),
             "span_ends": pa.ListArray.from_arrays(spans, pa.array(last - offsets[of], pa.int64())),
-            "kept": kept.cast(pa.binary()),
+            "kept": kept.cast(pa.binary()), **({"row": rows.column("row")} if keep else {}),
         })
 
     classes = rounds.answer(rounds.ask(corpus, ranks), lambda blobs: _repeated(blobs, False))
@@ -194,5 +196,26 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     repeats = rounds.answer(rounds.ask(corpus, strings, tied_names), lambda blobs: _repeated(blobs, False))
     both = tied_names.select("chunk", F.concat(F.lit(b"t"), "blob").alias("blob")).unionByName(repeats.select("chunk", F.concat(F.lit(b"s"), "blob").alias("blob")))
     kind = corpus.schema["id"].dataType.simpleString()
-    out = rounds.finish(corpus, both, cut, f"id {kind}, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept binary")
+    more = f", row {corpus.schema['row'].dataType.simpleString()}" if keep else ""
+    out = rounds.finish(corpus, both, cut, f"id {kind}, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept binary{more}")
     return out.withColumnRenamed("id", id_col)
+
+
+def whole_characters(left: Column) -> Column:
+    """Bytes as text, without the parts of characters that a removal has cut."""
+
+    def run(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    return F.pandas_udf(run, "string")(left)
+
+
+def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
+    """``docs`` with repeated bytes removed from the texts; rows and columns as they are, but for ``n_chars``, which follows."""
+    keep = tuple(c for c in docs.columns if c != text_col)
+    found = repeated_bytes(docs, length, id_col, text_col, keep=keep, **sizes)
+    found = found.withColumn("_text", F.when(F.col("n_removed") > 0, whole_characters(F.col("kept"))).otherwise(F.col("kept").cast("string")))
+    out = {c: F.col("row")[c] for c in keep} | {text_col: F.col("_text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return found.select(*(out[c].alias(c) for c in docs.columns))
