@@ -533,7 +533,7 @@ FORMATS = {
 for _name, _pattern in FORMATS.items():
     scalar(f"validate/is_{_name}", 1)(lambda a, p=_pattern: text(a).rlike(regex(p)))
 scalar("validate/is_ipv6", 1)(lambda a: udfs.is_ipv6(text(a)))
-scalar("validate/luhn", 1)(lambda a: F.when(text(a).rlike(r"\A[0-9]+\z"), F.luhn_check(text(a))).otherwise(F.when(text(a).isNotNull(), F.lit(False))))
+scalar("validate/luhn", 1)(lambda a: F.when(text(a).rlike(r"\A[0-9]+\z"), F.call_function("luhn_check", text(a))).otherwise(F.when(text(a).isNotNull(), F.lit(False))))
 scalar("validate/in_range", 3)(lambda a, lo, hi: num(a).between(num(lo), num(hi)))
 scalar("validate/matches", 2)(_regex_fn(lambda c, p: c.rlike(p), BOOL))
 _JSON_LITERAL = r"\A[ \t\n\r]*(\[|\{|\"|-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?[ \t\n\r]*\z|(true|false|null)[ \t\n\r]*\z)"
