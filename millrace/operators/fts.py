@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import Val
+from ..functions.stemming import stem
 from ..plans.errors import QueryError
 
 K1, B = 1.2, 0.75
@@ -24,8 +26,16 @@ STOPWORDS = {
 }
 
 
-def tokens(c: Column, kind: str = "whitespace", n: int = 3, language: str = "english") -> Column:
-    """A text's tokens: ``whitespace``, ``unicode`` (letter and digit runs), ``ngram`` or ``full`` (without stop words)."""
+def _stemmed(words: Column) -> Column:
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+
+    return F.pandas_udf(run, "array<string>")(words)
+
+
+def tokens(c: Column, kind: str = "whitespace", n: int = 3, language: str = "english", stopwords: bool = True, stems: bool = False) -> Column:
+    """A text's tokens: ``whitespace``, ``unicode`` (letter and digit runs), ``ngram`` or ``full``
+    (words, without the language's stop words if it has a list, and stemmed if asked: English only)."""
     low = F.lower(c)
     split = F.regexp_extract_all(low, F.lit(r"(?U)\S+"), F.lit(0))
     if kind == "whitespace":
@@ -40,8 +50,11 @@ def tokens(c: Column, kind: str = "whitespace", n: int = 3, language: str = "eng
 
         return F.flatten(F.transform(split, grams))
     if kind == "full":
-        stop = STOPWORDS.get(language, [])
-        return F.filter(split, lambda w: ~w.isin(stop)) if stop else split
+        stop = STOPWORDS.get(language, []) if stopwords else []
+        kept = F.filter(split, lambda w: ~w.isin(stop)) if stop else split
+        if stems and language != "english":
+            raise QueryError("unsupported_language", language)
+        return _stemmed(kept) if stems else kept
     raise QueryError("unknown_tokenizer", kind)
 
 

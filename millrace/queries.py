@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .operators import fts, schema, temporal, vector
+from .operators.writes import ForeignKey, VersionedTable
 from .plans.compiler import Scope, value
 from .sources.catalog import Engine
+from .sources.folders import new_path
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations")
 IDS = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id"}
@@ -438,6 +442,120 @@ def _subscription(spark, d):
     return subscribe.matching(changes, {"subscribe": [{"table": "events", "filter": op("gte", "value", 90)}], "deliver": "keys", "from_version": 100})
 
 
+# -- writes: versioned tables in the shared folder, filled from the test tables
+
+PART_SQL = "SELECT p_partkey::VARCHAR AS _id, p_name, p_size FROM part"
+
+
+def _parts(spark: SparkSession, d: str) -> VersionedTable:
+    rows = engine(spark, d).table("part").rows().select(F.col("p_partkey").cast("string").alias("_id"), "p_name", "p_size")
+    table = VersionedTable(spark, new_path(spark, "parts"), T.StructType([T.StructField("p_name", T.StringType()), T.StructField("p_size", T.IntegerType())]))
+    table.insert(rows, now_ms=1000)
+    return table
+
+
+@query("write_insert", PART_SQL)
+def _insert(spark, d):
+    return _parts(spark, d).latest().drop("_version")
+
+
+@query("write_update", "SELECT p_partkey::VARCHAR AS _id, p_name, CASE WHEN p_size > 40 THEN p_size - 40 ELSE p_size END::INTEGER AS p_size, CASE WHEN p_size > 40 THEN 2 ELSE 1 END::BIGINT AS _version FROM part")
+def _update(spark, d):
+    table = _parts(spark, d)
+    table.update(op("gt", "p_size", 40), {"p_size": expr("sub", ref("p_size"), 40)}, now_ms=2000)
+    return table.latest()
+
+
+@query("write_upsert", "SELECT * REPLACE (CASE WHEN p_size = 7 THEN 'seven' ELSE p_name END AS p_name) FROM (" + PART_SQL + ")")
+def _upsert(spark, d):
+    table = _parts(spark, d)
+    table.upsert({"p_size": 7}, {"p_name": "seven"}, now_ms=2000)
+    return table.latest().drop("_version")
+
+
+@query("write_delete", "SELECT p_partkey::VARCHAR AS _id, p_name, p_size FROM part WHERE NOT (p_size BETWEEN 10 AND 20)")
+def _delete(spark, d):
+    table = _parts(spark, d)
+    table.delete({"op": "between", "field": ["p_size"], "from": 10, "to": 20}, now_ms=2000)
+    return table.latest().drop("_version")
+
+
+@query("as_of_before_delete", PART_SQL)
+def _before(spark, d):
+    table = _parts(spark, d)
+    table.delete(op("gt", "p_size", 5), now_ms=2000)
+    e = Engine(spark)
+    e.register("parts", table)
+    return e.read({"from": "parts", "temporal": {"kind": "as_of", "at": {"timestamp": 1500}}}).df.drop("_version")
+
+
+@query("changes_since", "SELECT p_partkey::VARCHAR AS key, 'delete' AS op, 2::BIGINT AS commit_version FROM part WHERE p_size < 10")
+def _changes(spark, d):
+    table = _parts(spark, d)
+    table.delete(op("lt", "p_size", 10), now_ms=2000)
+    return table.changes_since(1)[0].drop("value")
+
+
+@query("transaction_batch", "SELECT p_partkey::VARCHAR AS _id, p_name, CASE WHEN p_size = 3 THEN 99 ELSE p_size END AS p_size FROM part WHERE p_size <> 4 UNION ALL SELECT 'new', 'added', 1")
+def _transaction(spark, d):
+    e = Engine(spark)
+    e.register("parts", _parts(spark, d))
+    done = e.batch({"transactional": True, "queries": {
+        "a": {"insert_into": "parts", "values": [{"_id": "new", "p_name": "added", "p_size": 1}]},
+        "u": {"update": "parts", "where": eq("p_size", 3), "set": {"p_size": 99}, "after": ["a"]},
+        "d": {"delete_from": "parts", "where": eq("p_size", 4), "after": ["u"]},
+        "r": {"from": "parts", "after": ["d"]},
+    }})
+    return done["results"]["r"].df.drop("_version")
+
+
+@query("for_each_writes", "SELECT n_name AS name, 1::BIGINT AS qty FROM nation WHERE n_regionkey = 2")
+def _each(spark, d):
+    e = engine(spark, d)
+    e.register("audit", VersionedTable(spark, new_path(spark, "audit"), T.StructType([T.StructField("name", T.StringType()), T.StructField("qty", T.LongType())])))
+    body = {"queries": {"w": {"insert_into": "audit", "values": [{"name": {"$param": "n"}, "qty": 1}]}}}
+    e.batch({"queries": {"s": {"from": "nation", "where": eq("n_regionkey", 2), "select": fields("n_name")}, "each": {"over": {"$query": "@s", "path": "[].n_name"}, "bind_row": "n", "for_each": body}}})
+    return e.read({"from": "audit", "select": fields("name", "qty")}).df
+
+
+@query("foreign_key_cascade", "SELECT p_partkey::VARCHAR AS _id, p_name, p_size FROM part WHERE p_size NOT IN (SELECT p_size FROM part WHERE p_size < 15)")
+def _cascade(spark, d):
+    child = _parts(spark, d)
+    sizes = VersionedTable(spark, new_path(spark, "sizes"), T.StructType([T.StructField("size", T.IntegerType())]))
+    sizes.insert(child.latest().select(F.col("p_size").alias("size")).distinct().withColumn("_id", F.col("size").cast("string")), now_ms=1000)
+    sizes.children.append(ForeignKey(child, "p_size", sizes, "size", "cascade"))
+    sizes.delete(op("lt", "size", 15), now_ms=2000)
+    return child.latest().drop("_version")
+
+
+def _streamed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """A stream over the events table, run over all that is there, with its result as a table."""
+    rows, path, name = engine(spark, d).table("events").rows(), new_path(spark, "stream"), f"stream_{uuid.uuid4().hex}"
+    rows.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{path}/in")
+    stream = build(spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in"))
+    running = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name)
+
+
+@query("stream_windows", "SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _windows(spark, d):
+    from .streaming.subscribe import windowed_counts
+
+    return _streamed(spark, d, lambda s: windowed_counts(s, "ts", ["event_type"], "1 hour"), "complete").select(F.unix_micros("start").alias("start"), "event_type", "n")
+
+
+@query("stream_subscription", "SELECT user_id::VARCHAR AS key, event_id AS commit_version FROM events WHERE value >= 95 AND event_type <> 'purchase'")
+def _stream_subscription(spark, d):
+    from .streaming import subscribe
+
+    def build(s):
+        changes = s.select(F.lit("events").alias("table"), F.when(F.col("event_type") == "purchase", "delete").otherwise("put").alias("op"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("commit_version"), F.struct("value").alias("value"))
+        return subscribe.matching(changes, {"subscribe": [{"table": "events", "filter": op("gte", "value", 95), "events": "put"}], "deliver": "keys"})
+
+    return _streamed(spark, d, build, "append").select("key", "commit_version")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grouped orders with HAVING."""
     return engine(spark, sf_dir).read(FLAGSHIP).df

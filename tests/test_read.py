@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from millrace.functions.stemming import stem
 from millrace.operators import fts, vector
 from millrace.plans import explain
 from millrace.plans.errors import QueryError
@@ -125,6 +126,17 @@ def test_full_text(spark):
     assert tokens("ngram", "ab", n=0) == ["a", "b"]
     assert tokens("full", "The fox is on it") == ["fox"]
     assert tokens("full", "и кот", language="russian") == ["кот"]
+    assert tokens("full", "The foxes were running happily", stems=True) == ["fox", "were", "run", "happili"]
+    with pytest.raises(QueryError):
+        fts.tokens(F.lit("x"), "full", language="german", stems=True)
+
+
+@pytest.mark.parametrize(("word", "want"), [
+    ("consigned", "consign"), ("consolingly", "consol"), ("conspicuously", "conspicu"), ("knackeries", "knackeri"), ("knightly", "knight"), ("generously", "generous"), ("hoping", "hope"), ("hopping", "hop"), ("flies", "fli"), ("dies", "die"),
+    ("nationality", "nation"), ("relational", "relat"), ("conditional", "condit"), ("ties", "tie"), ("gas", "gas"), ("sky", "sky"), ("say", "say"), ("agreed", "agre"), ("controlling", "control"), ("communication", "communic"), ("a", "a"),
+])
+def test_stems(word, want):
+    assert stem(word) == want
 
 
 @pytest.mark.parametrize(("spec", "want"), [
