@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .shared import new_path
+from ..sources.folders import new_path
 
 WIDTH = 64
 MAGIC = b"MEDARCH1"

@@ -1,45 +1,16 @@
-"""The folder that driver and executors share, and tables written there."""
+"""Words, and tables written to the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.folders import new_path
 
 #: Words are the maximal runs without a space, tab, LF, VT, FF or CR.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary one is set only where it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-    return jsc.getCheckpointDir().get().rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may be gone at exit
-        pass
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
