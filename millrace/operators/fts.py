@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -72,7 +73,7 @@ def matches(v: Val, query: str, mode: str = "and") -> Column:
 def ranked(docs: DataFrame, query: str, id_col: str, text_col: str, limit: int | None = None, kind: str = "unicode") -> DataFrame:
     """(id, score): BM25 over all of ``docs``, best first, ties by id.
 
-    One pass counts documents, words and document frequencies (a row of sums),
+    One pass counts documents, words and document frequencies (one row, fetched),
     one scores; only matching documents are sorted, and with ``limit`` by top-k.
     """
     from pyspark.sql import SparkSession
@@ -86,16 +87,17 @@ def ranked(docs: DataFrame, query: str, id_col: str, text_col: str, limit: int |
 
     rows = rows.select("id", F.size("t").alias("n"), *(times(w).alias(f"f{i}") for i, w in enumerate(words)))
     sums = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words"), *(F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(words))))
-    scored = rows.where(reduce(lambda a, b: a | b, (F.col(f"f{i}") > 0 for i in range(len(words))), F.lit(False))).join(F.broadcast(sums))  # sums is one row
-    average = F.col("words") / F.col("docs")
+    counted = sums.first()  # one row of sums
+    hit = reduce(lambda a, b: a | b, (F.col(f"f{i}") > 0 for i in range(len(words))), F.lit(False))
+    average = (counted["words"] or 0) / max(counted["docs"], 1) or 1.0
 
     def term(i: int) -> Column:
-        f, d = F.col(f"f{i}").cast("double"), F.col(f"d{i}").cast("double")
-        idf = F.ln((F.col("docs") - d + 0.5) / (d + 0.5) + 1.0)
+        f, d = F.col(f"f{i}").cast("double"), counted[f"d{i}"] or 0
+        idf = log((counted["docs"] - d + 0.5) / (d + 0.5) + 1.0)
         return idf * f * (K1 + 1.0) / (f + K1 * (1.0 - B + B * F.col("n") / average))
 
     score = reduce(lambda a, b: a + b, (term(i) for i in range(len(words))), F.lit(0.0))
-    out = scored.select(F.col("id").alias(id_col), score.alias("score")).orderBy(F.col("score").desc(), F.col(id_col))
+    out = rows.where(hit).select(F.col("id").alias(id_col), score.alias("score")).orderBy(F.col("score").desc(), F.col(id_col))
     return out.limit(limit) if limit is not None else out
 
 

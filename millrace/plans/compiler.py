@@ -341,11 +341,17 @@ def computed(op: str, v: Val, scope: Scope, args: list | None = None) -> Val:
     """A functional-index expression of a field; ``length`` counts bytes."""
     if op == "field":
         return v
+    given = [value(a, scope) for a in args or []]
+    if op == "nested_path":
+        return scope.typed(scalars.get_path(v, literal([a.lit for a in given])))
+    if op in ("substring", "concat", "mod", "coalesce"):
+        folder = {"mod": "math", "coalesce": "null"}.get(op, "strings")
+        return scope.typed(scalars.call(f"{folder}/{op}", [v, *given]))
     if op == "length":
         return Val(F.octet_length(v.c).cast("bigint"), T.LongType()) if v.text else literal(None)
     if op in ("lower", "upper", "trim"):
         return Val(scalars.call(f"strings/{op}", [v]), T.StringType())
-    return scope.typed(scalars.call(op, [v, *(value(a, scope) for a in args or [])]))
+    return scope.typed(scalars.call(op, [v, *given]))
 
 
 def _membership(op: str, values: list, v: Val, scope: Scope, top: bool) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.scalars import Fn
-from ..operators import read, temporal
+from ..operators import aggregates, read, temporal
 from ..operators.read import Result
 from ..operators.writes import VersionedTable
 from ..plans import explain
@@ -49,8 +49,13 @@ class Engine:
         """A table over Parquet, JSON, ORC, Avro or CSV files."""
         return self.register(name, self.spark.read.format(kind).options(**options).load(path), repo, id_col)
 
-    def create_index(self, table: str | list, name: str, kind: str, fields: list[str], include: list[str] | None = None) -> None:
-        """Indexes are metadata: Parquet statistics and column pruning do their work; EXPLAIN names them."""
+    def create_index(self, table: str | list, name: str, kind: str, fields: list[str], include: list[str] | None = None, scalar: str | None = None) -> None:
+        """Indexes are metadata: Parquet statistics and column pruning do their work; EXPLAIN names them.
+
+        A functional index on a ``scalar`` needs a pure one.
+        """
+        if scalar is not None and not (scalar in scalars.REGISTRY and scalars.REGISTRY[scalar].pure):
+            raise QueryError("not_pure", scalar)
         self.table(table).indexes[name] = {"kind": kind, "fields": fields, "include": include or []}
 
     def drop_index(self, table: str | list, name: str) -> None:
@@ -78,6 +83,11 @@ class Engine:
         """A scalar of the user's: ``build`` maps argument columns to a column (an expression or a UDF)."""
         scalars.REGISTRY[name] = Fn(low, low if high == -1 else high, lambda *a: build(*(x.c for x in a)), pure)
 
+    def register_aggregate(self, name: str, build: Callable) -> None:
+        """An aggregate of the user's: ``build`` maps the input column and literal arguments to an aggregate
+        (an expression or a grouped-aggregate pandas UDF)."""
+        aggregates.LIBRARY[name] = lambda v, distinct, *args: build(v.c, *args)
+
     def register_procedure(self, name: str, call: Callable) -> None:
         """A callable (engine, params) for batch entries of kind call."""
         self.procedures[name] = call
