@@ -16,13 +16,16 @@ Bands. ``bands`` groups of ``rows`` registers: at a similarity of 0.8 all 24
 groups of 4 differ with probability 3e-6.
 
 Links. Equal texts are one node from the start. In each bucket the texts are
-compared with one leader, not with each other. After the links' components are
-known, a bucket that still holds several is settled: texts outside its largest
-component are compared with all others there. If those are many, the bucket is
-split by its texts' other bands and settled on, so no bucket yields more than
-``SETTLE`` pairs per text. A pair must agree in over half of the registers
-before its texts are compared; below similarity 0.8 misses by that are rarer
-than 1e-9. Each link is decided by the exact overlap of the two multisets.
+compared with one leader, not with each other: the text that shares its bands
+with the most others, so of texts edited from one original the least edited. After
+the links' components are known, a bucket that still holds several is settled:
+if it holds ``SMALL`` texts or fewer, or at most ``SETTLE`` outside its largest
+component, those outside are compared with all others there; else that many of
+them lead, and the bucket is split by its texts' next ``NEAR`` bands and settled
+on. So no bucket yields more than ``SMALL`` pairs per text and round. A pair must
+agree in over half of the registers before its texts are compared, which a pair
+of similarity 0.8 misses more rarely than once in 1e9. Each link is decided by
+the exact overlap of the two multisets.
 
 Nothing is collected; components are found by rounds of joins, each written to
 the shared folder. Comparisons of a leader with many texts are dealt out in
@@ -36,9 +39,11 @@ rows that repeat an id are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,9 +53,12 @@ from .shared import WORD, written
 GRAM = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
-SETTLE = 64
-GROUP = 500
-GROUP_BYTES = 8_000_000
+SETTLE = 4
+SMALL = 16
+NEAR = 3
+GROUP = 100
+GROUP_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def shingles(column, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,6 +78,20 @@ def shingles(column, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return row[first], key[first], weight, np.bincount(row, minlength=len(n_words))
 
 
+def sliced_shingles(column, gram: int, limit: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``shingles`` over slices of about ``limit`` bytes: the working arrays of one slice at a time."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    parts, start = [], 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        row, key, weight, total = shingles(column.slice(start, end - start), gram)
+        parts.append((row + start, key, weight, total))
+        start = end
+    return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else shingles(column, gram)
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     """(0, 1] from 53 bits."""
     return ((x >> fp.U64(11)).astype(np.float64) + 1.0) * 2.0**-53
@@ -148,7 +170,7 @@ def _compare(gram: int, similarity: float):
     """Texts against their group's leader, for many groups at once."""
 
     def run(rows):
-        row, key, weight, total = shingles(rows.column("text"), gram)
+        row, key, weight, total = sliced_shingles(rows.column("text"), gram)
         code = rows.column("grp").combine_chunks().dictionary_encode()
         code = code.chunk(0) if isinstance(code, pa.ChunkedArray) else code
         salt = rows.column("salt").to_numpy().astype(fp.U64)
@@ -173,8 +195,9 @@ def _compare(gram: int, similarity: float):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, gram: int, similarity: float, groups: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, gram: int, similarity: float, mean_bytes: float) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts' multisets overlap enough; b leads its comparisons, in groups of bounded size."""
+    groups = max(1, ceil(2 * pairs.count() * mean_bytes / GROUP_BYTES))
     salts = pairs.groupBy(F.col("b").alias("grp")).agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
     led = pairs.withColumnRenamed("b", "grp").join(salts, "grp")
     members = led.select(F.col("a").alias("tid"), "grp", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("leads"))
@@ -237,11 +260,14 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM
     facts = nodes.select("tid", "n", "sketch")
 
     entries = nodes.select("tid", F.posexplode("bands").alias("band", "key"))
-    met = entries.groupBy("band", "key").agg(F.min("tid").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    entries = written(entries.join(met, ["band", "key"]).select("tid", "band", "key", "b"), "near-entries")
+    shared = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    entries = written(entries.join(shared, ["band", "key"]), "near-entries")
+    entries = entries.join(entries.groupBy("tid").agg(F.sum("c").alias("company")), "tid")
+    met = entries.groupBy("band", "key").agg(F.max(F.struct("company", "tid"))["tid"].alias("b"))
+    entries = written(entries.join(met, ["band", "key"]).select("tid", "band", "key", "company", "b"), "near-entries")
     need = entries.select("tid").distinct()
     texts = written(cut.select("tid", "text").join(need, "tid", "left_semi").groupBy("tid").agg(F.any_value("text").alias("text")), "near-texts")
-    groups = max(1, -(-(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // (GROUP_BYTES // 2)))
+    mean_bytes = texts.agg(F.coalesce(F.avg(F.octet_length("text")), F.lit(0.0))).first()[0]
 
     def likely(pairs: DataFrame) -> DataFrame:
         one = facts.select(F.col("tid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
@@ -249,32 +275,35 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM
         both = pairs.join(one, "a").join(two, "b")
         return both.where(_likely(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), registers, similarity)).select("a", "b")
 
-    done = written(likely(entries.where("tid != b").select(F.col("tid").alias("a"), "b").distinct()), "near-pairs")
-    edges = written(verified(done, texts, gram, similarity, groups), "near-edges")
+    def pair(x: str, y: str) -> list[Column]:
+        return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+    done = written(likely(entries.where("tid != b").select(*pair("tid", "b")).distinct()), "near-pairs")
+    edges = written(verified(done, texts, gram, similarity, mean_bytes), "near-edges")
     comps = components(edges)
-    open_entries = entries.select("tid", F.col("band").cast("string").alias("band"), "key")
+    open_entries = entries.select("tid", F.col("band").cast("string").alias("band"), "key", "company")
     for depth in range(bands):
         named = open_entries.join(comps, "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
-        held = named.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("tid").alias("first"))
-        held = held.groupBy("band", "key").agg(F.sum("c").alias("c"), F.max("c").alias("top"), F.max_by("comp", "c").alias("most"), F.min("first").alias("first"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        named = written(named.join(held, ["band", "key"]).withColumn("many", F.col("c") - F.col("top") > SETTLE), "near-open")
+        held = named.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        held = held.groupBy("band", "key").agg(F.sum("c").alias("c"), F.max("c").alias("top"), F.max_by("comp", "c").alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        named = written(named.join(held, ["band", "key"]).withColumn("many", (F.col("c") - F.col("top") > SETTLE) & (F.col("c") > SMALL)), "near-open")
         if named.isEmpty():
             break
-        small = named.where("not many")
-        one = small.where("comp != most").select("band", "key", F.col("tid").alias("x"), F.col("comp").alias("x_comp"))
-        two = small.select("band", "key", F.col("tid").alias("y"), F.col("comp").alias("y_comp"))
-        pairs = one.join(two, ["band", "key"]).where("x_comp != y_comp").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-        led = named.where("many and tid != first").select(F.greatest("tid", "first").alias("a"), F.least("tid", "first").alias("b"))
-        fresh = written(likely(pairs.unionByName(led).distinct().join(done, ["a", "b"], "left_anti")), "near-pairs")
+        outside = named.where("comp != most").select("band", "key", F.col("tid").alias("x"), F.col("comp").alias("x_comp"), "company", "many")
+        lane = F.when(F.col("many"), F.pmod(F.xxhash64("x"), F.lit(SETTLE)).cast("string")).otherwise(F.hex("x"))
+        lead = outside.groupBy("band", "key", lane.alias("lane")).agg(F.max(F.struct("company", "x", "x_comp")).alias("m")).select("band", "key", "m.x", "m.x_comp")
+        pairs = lead.join(named.select("band", "key", F.col("tid").alias("y"), F.col("comp").alias("y_comp")), ["band", "key"]).where("x_comp != y_comp")
+        fresh = written(likely(pairs.select(*pair("x", "y")).distinct().join(done, ["a", "b"], "left_anti")), "near-pairs")
         if not fresh.isEmpty():
-            more = written(verified(fresh, texts, gram, similarity, groups), "near-edges")
+            more = written(verified(fresh, texts, gram, similarity, mean_bytes), "near-edges")
             done, edges = done.unionByName(fresh), edges.unionByName(more)
             if not more.isEmpty():
                 comps = components(edges)
         # Buckets with many texts outside their largest component: split by the texts' other bands.
-        split = named.where("many").select("tid", "band", "key").join(nodes.select("tid", "bands"), "tid")
-        split = split.select("tid", "band", "key", F.posexplode("bands").alias("at", "other")).where(~F.array_contains(F.split("band", "-"), F.col("at").cast("string")))
-        split = split.where(F.col("at") > F.element_at(F.split("band", "-"), -1).cast("int"))
-        open_entries = split.select("tid", F.concat_ws("-", "band", F.col("at").cast("string")).alias("band"), F.xxhash64("key", "other").alias("key"))
+        split = named.where("many").select("tid", "band", "key", "company").join(nodes.select("tid", "bands"), "tid")
+        last = F.element_at(F.split("band", "-"), -1).cast("int")
+        split = split.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(NEAR)))).withColumn("at", (last + F.col("step")) % bands)
+        split = split.where(~F.array_contains(F.split("band", "-"), F.col("at").cast("string")))
+        open_entries = split.select("tid", F.concat_ws("-", "band", F.col("at").cast("string")).alias("band"), F.xxhash64("key", F.get("bands", F.col("at"))).alias("key"), "company")
 
     return signed.join(comps, "tid", "left").select("id", "tid", "n", F.coalesce("comp", "tid").alias("comp"))
