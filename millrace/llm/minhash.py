@@ -19,13 +19,16 @@ Links. Equal texts are one node from the start. In each bucket the texts are
 compared with one leader, not with each other: the text that shares its bands
 with the most others, so of texts edited from one original the least edited. After
 the links' components are known, a bucket that still holds several is settled:
-if it holds ``SMALL`` texts or fewer, or at most ``SETTLE`` outside its largest
-component, those outside are compared with all others there; else that many of
-them lead, and the bucket is split by its texts' next ``NEAR`` bands and settled
-on. So no bucket yields more than ``SMALL`` pairs per text and round. A pair must
-agree in over half of the registers before its texts are compared, which a pair
-of similarity 0.8 misses more rarely than once in 1e9. Each link is decided by
-the exact overlap of the two multisets.
+if it holds at most ``SMALL`` texts and ``SETTLE`` outside its largest component,
+those outside are paired with all others there; else all outside the largest are
+compared with all others in blocks of ``BLOCK`` texts: a task holds two blocks,
+counts the overlaps of all their pairs by a product of matrices and returns only
+links that join components, so every pair that shares a band is decided and no
+pair is written out. Time in such a bucket still grows with the square of the
+texts outside its largest component. Outside the blocks a pair must agree in over
+half of the registers before its texts are compared, which a pair of similarity
+0.8 misses more rarely than once in 1e9. Each link is decided by the exact
+overlap of the two multisets.
 
 Nothing is collected; components are found by rounds of joins, each written to
 the shared folder. Comparisons of a leader with many texts are dealt out in
@@ -55,7 +58,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 SETTLE = 4
 SMALL = 16
-NEAR = 3
+BLOCK = 1000
+COLUMNS = 4096
 GROUP = 100
 GROUP_BYTES = 4_000_000
 SLICE_BYTES = 2_000_000
@@ -202,10 +206,74 @@ def verified(pairs: DataFrame, texts: DataFrame, gram: int, similarity: float, m
     led = pairs.withColumnRenamed("b", "grp").join(salts, "grp")
     members = led.select(F.col("a").alias("tid"), "grp", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("leads"))
     leaders = salts.select(F.col("grp").alias("tid"), "grp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("leads"))
-    rows = members.unionByName(leaders).join(texts, "tid").withColumn("part", F.pmod(F.xxhash64("grp", "salt"), F.lit(groups)).cast("int"))
+    rows = members.unionByName(leaders).join(texts.select("tid", "text"), "tid").withColumn("part", F.pmod(F.xxhash64("grp", "salt"), F.lit(groups)).cast("int"))
     return rows.groupBy("part").applyInArrow(_compare(gram, similarity), "a binary, b binary")
 
 
+def _overlaps(row: np.ndarray, key: np.ndarray, weight: np.ndarray, one: np.ndarray, two: np.ndarray, n: int) -> np.ndarray:
+    """The multiset overlaps of rows ``one`` with rows ``two``, of n rows in all."""
+    order = np.lexsort((row, key))
+    row, key, weight = row[order], key[order], weight[order]
+    first = np.concatenate(([True], key[1:] != key[:-1]))
+    held = np.bincount(np.cumsum(first) - 1)
+    some = np.repeat(held, held) > 1  # a shingle of one text overlaps with nothing
+    row, key, weight = row[some], key[some], weight[some]
+    # A shingle of weight w is w columns of ones: their products add up to the smaller weight.
+    nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+    row, key = np.repeat(row, weight), np.repeat(key, weight)
+    order = np.lexsort((nth, key))
+    row, key, nth = row[order], key[order], nth[order]
+    column = np.cumsum(np.concatenate(([False], (key[1:] != key[:-1]) | (nth[1:] != nth[:-1])))) if len(row) else row
+    out = np.zeros((len(one), len(two)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        here = slice(*np.searchsorted(column, (low, low + COLUMNS)))
+        ones = np.zeros((n, COLUMNS), np.float32)
+        ones[row[here], column[here] - low] = 1
+        out += ones[one] @ ones[two].T
+    return out
+
+
+def _block_links(gram: int, similarity: float):
+    """All texts of one block against all of another (or the same): links enough to join the components they join."""
+
+    def run(rows):
+        row, key, weight, total = sliced_shingles(rows.column("text"), gram)
+        left = rows.column("block").to_numpy() == rows.column("i").to_numpy()
+        right = rows.column("block").to_numpy() == rows.column("j").to_numpy()
+        one, two = np.flatnonzero(left), np.flatnonzero(right)
+        overlap = _overlaps(row, key, weight, one, two, len(total))
+        both = total[one][:, None] + total[two][None, :] - overlap
+        link = (overlap > 0) & (overlap >= similarity * both - 1e-9)
+        names: dict[bytes, int] = {}
+        label = np.array([names.setdefault(c, len(names)) for c in rows.column("comp").to_pylist()], np.int64)
+        found = []
+        for a, linked in zip(one, link, strict=True):
+            near = two[linked]
+            near = near[label[near] != label[a]]
+            if len(near):
+                joined, at = np.unique(label[near], return_index=True)
+                found += [(a, b) for b in near[at]]
+                label[np.isin(label, joined)] = label[a]
+        tid = rows.column("tid")
+        return pa.table({"a": tid.take(pa.array([a for a, _ in found], pa.int64())), "b": tid.take(pa.array([b for _, b in found], pa.int64()))})
+
+    return run
+
+
+def block_links(open_entries: DataFrame, texts: DataFrame, gram: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join the components of each bucket of ``open_entries`` (tid, band, key, comp, most), every pair of two components decided."""
+    sized = open_entries.join(texts.select("tid", "size"), "tid").withColumn("outside", F.col("comp") != F.col("most"))
+    parts = lambda some: F.greatest(F.ceil(F.sum(some.cast("long")) / BLOCK), F.ceil(F.sum(F.when(some, F.col("size")).otherwise(0)) / (GROUP_BYTES // 2))).cast("int")
+    dealt = sized.groupBy("band", "key").agg(parts(F.lit(True)).alias("whole"), parts(F.col("outside")).alias("outer"), parts(~F.col("outside")).alias("inner"))
+    dealt = dealt.withColumn("outer", F.greatest("outer", F.lit(1))).withColumn("inner", F.when(F.col("whole") <= 1, 0).otherwise(F.greatest("inner", F.lit(1))))
+    share = F.xxhash64("tid")
+    block = F.when(F.col("outside") | (F.col("inner") == 0), F.pmod(share, F.col("outer"))).otherwise(F.col("outer") + F.pmod(share, F.col("inner"))).cast("int")
+    last = F.when(F.col("block") < F.col("outer"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1  # the largest component is not compared with itself
+    sent = sized.join(dealt, ["band", "key"]).withColumn("block", block).select("tid", "band", "key", "comp", "block", F.explode(F.sequence(F.lit(0), last)).alias("with"))
+    sent = sent.select("tid", "band", "key", "comp", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    return sent.join(texts.select("tid", "text"), "tid").groupBy("band", "key", "i", "j").applyInArrow(_block_links(gram, similarity), "a binary, b binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(tid, comp): each node of ``edges`` (a, b) and the smallest node that it is linked with.
 
@@ -266,8 +334,8 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM
     met = entries.groupBy("band", "key").agg(F.max(F.struct("company", "tid"))["tid"].alias("b"))
     entries = written(entries.join(met, ["band", "key"]).select("tid", "band", "key", "company", "b"), "near-entries")
     need = entries.select("tid").distinct()
-    texts = written(cut.select("tid", "text").join(need, "tid", "left_semi").groupBy("tid").agg(F.any_value("text").alias("text")), "near-texts")
-    mean_bytes = texts.agg(F.coalesce(F.avg(F.octet_length("text")), F.lit(0.0))).first()[0]
+    texts = written(cut.select("tid", "text").join(need, "tid", "left_semi").groupBy("tid").agg(F.any_value("text").alias("text")).withColumn("size", F.octet_length("text")), "near-texts")
+    mean_bytes = texts.agg(F.coalesce(F.avg("size"), F.lit(0.0))).first()[0]
 
     def likely(pairs: DataFrame) -> DataFrame:
         one = facts.select(F.col("tid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
@@ -281,29 +349,30 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM
     done = written(likely(entries.where("tid != b").select(*pair("tid", "b")).distinct()), "near-pairs")
     edges = written(verified(done, texts, gram, similarity, mean_bytes), "near-edges")
     comps = components(edges)
-    open_entries = entries.select("tid", F.col("band").cast("string").alias("band"), "key", "company")
-    for depth in range(bands):
-        named = open_entries.join(comps, "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
+
+    def unsettled(some: DataFrame) -> DataFrame:
+        """The entries of buckets that hold several components, with these."""
+        named = some.join(comps, "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
         held = named.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("c"))
         held = held.groupBy("band", "key").agg(F.sum("c").alias("c"), F.max("c").alias("top"), F.max_by("comp", "c").alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        named = written(named.join(held, ["band", "key"]).withColumn("many", (F.col("c") - F.col("top") > SETTLE) & (F.col("c") > SMALL)), "near-open")
-        if named.isEmpty():
-            break
-        outside = named.where("comp != most").select("band", "key", F.col("tid").alias("x"), F.col("comp").alias("x_comp"), "company", "many")
-        lane = F.when(F.col("many"), F.pmod(F.xxhash64("x"), F.lit(SETTLE)).cast("string")).otherwise(F.hex("x"))
-        lead = outside.groupBy("band", "key", lane.alias("lane")).agg(F.max(F.struct("company", "x", "x_comp")).alias("m")).select("band", "key", "m.x", "m.x_comp")
-        pairs = lead.join(named.select("band", "key", F.col("tid").alias("y"), F.col("comp").alias("y_comp")), ["band", "key"]).where("x_comp != y_comp")
-        fresh = written(likely(pairs.select(*pair("x", "y")).distinct().join(done, ["a", "b"], "left_anti")), "near-pairs")
-        if not fresh.isEmpty():
-            more = written(verified(fresh, texts, gram, similarity, mean_bytes), "near-edges")
-            done, edges = done.unionByName(fresh), edges.unionByName(more)
-            if not more.isEmpty():
-                comps = components(edges)
-        # Buckets with many texts outside their largest component: split by the texts' other bands.
-        split = named.where("many").select("tid", "band", "key", "company").join(nodes.select("tid", "bands"), "tid")
-        last = F.element_at(F.split("band", "-"), -1).cast("int")
-        split = split.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(NEAR)))).withColumn("at", (last + F.col("step")) % bands)
-        split = split.where(~F.array_contains(F.split("band", "-"), F.col("at").cast("string")))
-        open_entries = split.select("tid", F.concat_ws("-", "band", F.col("at").cast("string")).alias("band"), F.xxhash64("key", F.get("bands", F.col("at"))).alias("key"), "company")
+        return named.join(held, ["band", "key"])
+
+    many = (F.col("c") - F.col("top") > SETTLE) | (F.col("c") > SMALL)
+    named = written(unsettled(entries.select("tid", "band", "key")).withColumn("many", many), "near-open")
+    few = named.where("not many")
+    lead = few.where("comp != most").select("band", "key", F.col("tid").alias("x"), F.col("comp").alias("x_comp"))
+    pairs = lead.join(few.select("band", "key", F.col("tid").alias("y"), F.col("comp").alias("y_comp")), ["band", "key"]).where("x_comp != y_comp")
+    fresh = written(likely(pairs.select(*pair("x", "y")).distinct().join(done, ["a", "b"], "left_anti")), "near-pairs")
+    if not fresh.isEmpty():
+        more = written(verified(fresh, texts, gram, similarity, mean_bytes), "near-edges")
+        edges = edges.unionByName(more)
+        if not more.isEmpty():
+            comps = components(edges)
+    # All other buckets: all pairs of what is still apart are decided in blocks.
+    left = written(unsettled(named.where("many").select("tid", "band", "key")), "near-open")
+    if not left.isEmpty():
+        more = written(block_links(left, texts, gram, similarity), "near-edges")
+        if not more.isEmpty():
+            comps = components(edges.unionByName(more))
 
     return signed.join(comps, "tid", "left").select("id", "tid", "n", F.coalesce("comp", "tid").alias("comp"))

@@ -322,6 +322,36 @@ def test_settling_many_outsiders(spark, monkeypatch):
         assert got[i] == first[c]
 
 
+def templated_corpus(seed, bands, rows):
+    """Texts of one template, too unlike to be links, and for many a near copy that shares one band with it, which is the template's."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    edited = lambda words, places: " ".join(word() if i in places else w for i, w in enumerate(words))
+    base, texts = [word() for _ in range(150)], []
+    for i in range(160):
+        one = edited(base, r.sample(range(150), 5))
+        texts.append(one)
+        if i < 50:
+            near = [edited(one.split(" "), [r.randrange(10, 45), r.randrange(55, 90), r.randrange(100, 140)]) for _ in range(60)]
+            signed = minhash.signatures(*minhash.shingles(pa.array([" ".join(base), one, *near]), 5), bands * rows).reshape(-1, bands, rows)
+            same = (signed[2:] == signed[1]).all(axis=2)
+            good = np.flatnonzero((same.sum(axis=1) == 1) & (same & (signed[1] == signed[0]).all(axis=1)).any(axis=1))
+            texts += [near[k] for k in good[:1]]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("block", [1000, 40])
+def test_links_within_a_templated_group(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+    rows = templated_corpus(1, 8, 4)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=8, rows=4).collect()}
+    names, first = brute_classes(rows), {}
+    for (i, _), c in zip(rows, names, strict=True):
+        first.setdefault(c, i)
+    assert len(rows) > 180 and len(first) < len(rows) - 15
+    assert [i for (i, _), c in zip(rows, names, strict=True) if got[i] != first[c]] == []
+
+
 def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 1), (1, "a b c d e f", 2), (None, "x y z", 3), (None, "x y z", 4), (5, None, 5), (None, "", 6)], "doc_id long, text string, n long")
     left = sorted(r["n"] for r in minhash.deduplicated(df).collect())
