@@ -6,10 +6,10 @@ and go back to the chunks that hold the token. Bigrams of ``min_count`` or more
 are quantised, level 1 + floor(log2(count / min_count)), and a bigram of level
 n is put into the filter n times, with the levels 1 .. n.
 
-Filter. Every bucket has its own part of the filter, sized by its entries. The
-parts are broadcast; a broadcast is never over ``max_filter_bytes``. Where the
-filter is larger the corpus is scored in several passes, each with some of the
-buckets; a bigram belongs to one bucket, so the passes add up to the whole.
+Filter. Every bucket has its own part of the filter, sized by its entries. Up to
+``max_filter_bytes`` in all the parts are broadcast. Where the filter is larger
+the parts stay where they are: each chunk sends its distinct bigrams to their
+buckets, which probe their parts and answer with levels. The levels are the same.
 
 Scoring. A bigram's level is found by probing levels until one is absent. Its
 expected count c2 is interpolated with the token's own add-half estimate P1,
@@ -40,7 +40,7 @@ BUCKET_BYTES = 8_000_000
 MAX_FILTER_BYTES = 32_000_000
 BITS_PER_ENTRY = 10
 HASHES = 7
-MIN_COUNT = 2
+MIN_COUNT = 1
 WEIGHT = 0.25
 END = 0x9A3F5C7E1B2D4F68
 _PAIR = fp.U64(0xA24BAED4963EE407)
@@ -163,31 +163,37 @@ def score(
     said = written(rounds.ask(corpus, count).groupBy("bucket").applyInArrow(add_up, "chunk int, kind string, blob binary, n long, v long"), "lm-counts")
     n_train, n_types = said.where("kind = 'size'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     sizes = said.where("kind = 'filter'").select(F.col("n").cast("int"), F.octet_length("blob")).collect()  # two numbers per bucket
-    passes: list[list[int]] = [[]]
-    held = 0
-    for bucket, size in sorted(map(tuple, sizes)):
-        if passes[-1] and held + size > max_filter_bytes:
-            passes.append([])
-            held = 0
-        passes[-1].append(bucket)
-        held += size
-    counts = said.where("kind = 'counts'").select("chunk", "blob")
+    counts = said.where("kind = 'counts'").select("chunk", F.concat(F.lit(b"C"), "blob").alias("blob"))
     kind = corpus.schema["id"].dataType.simpleString()
-    schema = f"chunk int, id {kind}, text string, train boolean, n_tokens long, n_known long, base_score double, score double"
-    rows = corpus.select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    for own in passes:
-        parts = {r["n"]: bytes(r["blob"]) for r in said.where((F.col("kind") == "filter") & F.col("n").between(own[0], own[-1])).select("n", "blob").collect()} if own else {}
-        shared = docs.sparkSession.sparkContext.broadcast((parts, bits, buckets))
-        rows = rounds.finish(rows, counts, _scorer(shared, n_train, n_types, weight, min_count, last=own is passes[-1]), schema)
+    schema = f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double"
+
+    def questions(rows: pa.Table, _: list[bytes]):
+        values, before, _ = tokens(rows)
+        return fp.by_bucket(np.unique(pairs(before, values, bits)), bits, buckets)
+
+    def probe(key, rows, held):
+        part, out = {key[0].as_py(): held.column("part")[0].as_py()} if held.num_rows else {}, []
+        own = Filter(part, bits, buckets)
+        for blob in rows.column("blob").to_pylist():
+            out.append(b"L" + key[0].as_py().to_bytes(4, "big") + own.levels(fp.unpack(blob)[0])[0].astype(np.uint8).tobytes())
+        return pa.table({"chunk": rows.column("chunk").cast(pa.int32()), "blob": pa.array(out, pa.binary())})
+
+    filters = said.where("kind = 'filter'").select(F.col("n").cast("int").alias("bucket"), F.col("blob").alias("part"))
+    if sum(size for _, size in sizes) <= max_filter_bytes:
+        shared = docs.sparkSession.sparkContext.broadcast(({r["bucket"]: bytes(r["part"]) for r in filters.collect()}, bits, buckets))
+    else:
+        shared = None
+        counts = counts.unionByName(rounds.ask(corpus, questions).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(probe, rounds.ANSWER))
+    rows = rounds.finish(corpus, counts, _scorer(shared, bits, n_train, n_types, weight, min_count), schema)
     return rows.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _scorer(shared, n_train: int, n_types: int, weight: float, min_count: int, last: bool):
-    """One pass: adds the log probabilities of the bigrams whose buckets it holds."""
+def _scorer(shared, bits: int, n_train: int, n_types: int, weight: float, min_count: int):
+    """Scores a chunk's rows; levels come from the broadcast filter or, without one, with the answers."""
 
     def run(rows: pa.Table, said: list[bytes]) -> pa.Table:
         values, before, offsets = tokens(rows)
-        known = [fp.unpack(b, 2) for b in said]
+        known = [fp.unpack(b[1:], 2) for b in said if b[:1] == b"C"]
         keys, counts = np.concatenate([k[0] for k in known]), np.concatenate([k[1] for k in known]).astype(np.float64)
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
@@ -197,19 +203,19 @@ def _scorer(shared, n_train: int, n_types: int, weight: float, min_count: int, l
         history = np.where(keys[place] == before, counts[place], 0.0)
         assert keys[np.searchsorted(keys, end)] == end
         log_p1 = np.log10((c + 0.5) / (n_train + 0.5 * (n_types + 1)))
-        two, back = np.unique(pairs(before, values, shared.value[1]), return_inverse=True)
-        level, here = _filter(shared).levels(two)
+        two, back = np.unique(pairs(before, values, bits), return_inverse=True)
+        if shared is None:  # a bucket is a range of bigrams, so the answers by bucket are in the bigrams' order
+            level = np.frombuffer(b"".join(b[5:] for b in sorted(b for b in said if b[:1] == b"L")), np.uint8).astype(np.int64)
+            assert len(level) == len(two)
+        else:
+            level, _ = _filter(shared).levels(two)
         share = np.minimum(expected_count(level, min_count)[back] / np.maximum(history, 1.0), 1.0)
         log_p = np.where(history > 0, np.log10(weight * share + (1 - weight) * 10.0**log_p1), log_p1)
-        if shared.value[0]:  # else there is no filter, and this is the only pass
-            log_p = np.where(here[back], log_p, 0.0)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         total = lambda x: np.bincount(row, weights=x, minlength=len(offsets) - 1)
-        text = pa.nulls(rows.num_rows, pa.string()) if last else rows.column("text")
         return pa.table({
-            "chunk": rows.column("chunk"), "id": rows.column("id"), "text": text, "train": rows.column("train"),
-            "n_tokens": pa.array(np.diff(offsets), pa.int64()), "n_known": pa.array(total(c > 0).astype(np.int64)), "base_score": pa.array(total(log_p1)),
-            "score": pa.array(rows.column("score").to_numpy() + total(log_p)),
+            "id": rows.column("id"), "train": rows.column("train"), "n_tokens": pa.array(np.diff(offsets), pa.int64()),
+            "n_known": pa.array(total(c > 0).astype(np.int64)), "base_score": pa.array(total(log_p1)), "score": pa.array(total(log_p)),
         })
 
     return run

@@ -417,6 +417,17 @@ def test_lm_prefers_seen_order(spark):
     assert got[100]["base_score"] == pytest.approx(got[101]["base_score"]) and got[100]["score"] > got[101]["score"] + 2
 
 
+def test_lm_knows_bigrams_seen_once(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, "the cat sat on the mat") for i in range(20)] + [(50, " ".join(words)), (100, " ".join(words)), (101, " ".join(words[::-1]))]
+    got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 100).collect()}
+    n, types = got[100]["train_tokens"], 5 + 30 + 1
+    once, end = 1.5 / (n + 0.5 * (types + 1)), 21.5 / (n + 0.5 * (types + 1))
+    true = math.log10(0.25 / 21 + 0.75 * once) + 29 * math.log10(0.25 + 0.75 * once) + math.log10(0.25 + 0.75 * end)
+    assert got[100]["score"] == pytest.approx(true) == pytest.approx(got[50]["score"])
+    assert got[101]["base_score"] == pytest.approx(got[100]["base_score"]) and got[101]["score"] < got[100]["score"] - 10
+
+
 def test_filter_levels():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 5_000).astype(np.uint64))
     counts = np.random.default_rng(2).integers(1, 200, len(keys))
