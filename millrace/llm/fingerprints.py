@@ -34,9 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=1)
-def _coefficients() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+@lru_cache(maxsize=2)
+def _coefficients(other: bool = False) -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93 if other else 0x9E3779B97F4A7C15))
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -91,9 +91,9 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def byte_values(data: np.ndarray) -> np.ndarray:
-    """A random 64-bit value per byte."""
-    return _coefficients()[data]
+def byte_values(data: np.ndarray, other: bool = False) -> np.ndarray:
+    """A random 64-bit value per byte; ``other`` ones for a second, independent fingerprint."""
+    return _coefficients(other)[data]
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint of every word, and each row's offsets into them."""
     n = len(data)
     if not n:
@@ -115,7 +115,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = offsets[1:][offsets[1:] > 0] - 1
     last[ends] |= inside[ends]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return Rolling(byte_values(data)).at(start, end - start), np.searchsorted(start, offsets)
+    return Rolling(byte_values(data, other)).at(start, end - start), np.searchsorted(start, offsets)
 
 
 def row_ends(offsets: np.ndarray) -> np.ndarray:
@@ -201,3 +201,39 @@ def by_bucket(values: np.ndarray, bits: int, buckets: int, *more: np.ndarray) ->
     edges = np.array([-(-(b << bits) // buckets) for b in range(1, buckets)], U64)
     cuts = [0, *np.searchsorted(values, edges).tolist(), len(values)]
     return [(b, pack(values[x:y], *(c[x:y] for c in more))) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+
+
+def bundle(*parts: bytes) -> bytes:
+    """Several byte strings as one."""
+    return len(parts).to_bytes(4, "little") + b"".join(len(p).to_bytes(8, "little") for p in parts) + b"".join(parts)
+
+
+def unbundle(blob: bytes) -> list[bytes]:
+    """What ``bundle`` was given."""
+    n = int.from_bytes(blob[:4], "little")
+    out, at = [], 4 + 8 * n
+    for i in range(n):
+        size = int.from_bytes(blob[4 + 8 * i : 12 + 8 * i], "little")
+        out.append(blob[at : at + size])
+        at += size
+    return out
+
+
+def squeeze(array: np.ndarray) -> bytes:
+    """An array's bytes, compressed."""
+    return _zstd()[0].compress(np.ascontiguousarray(array).tobytes())
+
+
+def stretch(data: bytes, kind, *shape: int) -> np.ndarray:
+    """What ``squeeze`` was given."""
+    return np.frombuffer(_zstd()[1].decompress(data), kind).reshape(shape)
+
+
+def pack_aligned(values: np.ndarray) -> bytes:
+    """Numbers in any order."""
+    return pack(np.arange(len(values), dtype=U64), values.astype(U64))
+
+
+def unpack_aligned(blobs) -> np.ndarray:
+    """What ``pack_aligned`` was given, blob after blob."""
+    return np.concatenate([np.zeros(0, np.int64), *(unpack(b, 2)[1].astype(np.int64) for b in blobs)])

@@ -1,84 +1,125 @@
-"""Removal of repeated byte strings by a blockwise suffix sort with a difference cover.
-
-Only equality of suffixes over their first ``length`` bytes matters here, so
-suffixes are ordered by fingerprints of prefixes, and the sort of all suffixes
-is never laid out: one suffix bucket is sorted at a time, and only suffixes
-that can still tie.
-
-* Cover sample. The residues in ``COVER`` modulo ``PERIOD`` are a difference
-  cover: for any two places some ``k < PERIOD`` moves both onto sample places.
-  So two equal strings of ``length`` bytes hold, at one such ``k``, two sample
-  suffixes that agree in ``length - PERIOD + 1`` bytes.
-* Ranks. The sample suffixes (one place in seven) are sorted by that prefix,
-  bucket by bucket; those alone in their class drop out for good.
-* Long ties. Tied sample suffixes are sorted with their context, the bytes on
-  either side that a string of ``length`` bytes through them can touch. Those
-  that tie even in that are ranked equal: all strings through them repeat. In
-  classes with several contexts one suffix of each context goes on.
-* For those, the strings through them are sorted by their whole length, bucket
-  by bucket, and the ties are the remaining repeats.
-
-Memory is bounded by one chunk of text or one bucket of fingerprints.
+"""Removal of repeated byte strings by blockwise suffix sorting with a difference cover.
+
+A string of ``length`` bytes is repeated if the suffixes of two of its places
+agree in their first ``length`` bytes. The suffixes of a corpus are sorted in
+buckets of equal leading bytes, one bucket at a time, and long ties are
+resolved by ranks of a sample that are computed before.
+
+* Cover sample. The residues ``COVERS[v]`` modulo ``v`` are a difference cover:
+  for any two places some ``k < v`` moves both onto sample places. The sample
+  suffixes are cut to ``length - v + 1`` bytes, so that they lie in any string
+  of ``length`` bytes that starts up to ``v - 1`` bytes before them.
+* Pruning. A suffix that ties with no other can't lie in a repeat. Short
+  fingerprints of the sample suffixes turn most of them away; a false hit
+  costs time, never a result.
+* Ranks. The other sample suffixes go to the buckets of their leading bytes,
+  which sort them by their bytes: equal bytes, equal rank. Order is that of
+  (leading bytes, rank), and those alone in their rank drop out.
+* Whole ties. Sample suffixes of one rank are sorted by their context, all
+  bytes that a string of ``length`` bytes through them can touch. Where two
+  contexts are equal, all strings through them repeat.
+* Long ties. Of a rank with several contexts one suffix of each context sends
+  the bytes on either side. Two suffixes that start ``k`` bytes before sample
+  suffixes tie in ``length`` bytes if they tie in their first ``k`` bytes, in
+  the rank, and in the rest: for every ``k`` they are sorted by these three,
+  and neighbours that tie are repeats. The answer is a bit for every ``k``.
+
+Bytes decide the ranks; inside a rank the contexts are told apart by 64-bit
+fingerprints, as are equal suffixes inside one chunk.
+
+Memory is bounded by one chunk of text or one bucket of suffixes.
 
 Defined results: null text has no bytes; texts shorter than ``length`` lose
 nothing; every copy is removed, the first too; strings never cross rows; equal
 rows repeat each other; ids may be null or repeat. What is left may end inside
-a character, so it is binary.
+a character, so it is binary; ``without_repeats`` drops such parts.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
 from . import rounds
-from .substring_dedup import _repeated, _told
-
-PERIOD = 57
-#: A perfect difference set: every residue modulo 57 is a difference of two of these.
-COVER = (0, 1, 3, 13, 32, 36, 43, 52)
+from .substring_dedup import repeated_values, told_values
+
+#: Perfect difference sets (fixed values): every residue modulo the key is a difference of two of the numbers.
+COVERS = {
+    91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
+    57: (0, 1, 3, 13, 32, 36, 43, 52),
+    31: (1, 5, 11, 24, 25, 27),
+    13: (0, 1, 3, 9),
+    7: (0, 1, 3),
+    1: (0,),
+}
 CHUNK_BYTES = 2_000_000
 BUCKET_BYTES = 16_000_000
-CONTEXT_BITS = 48
+#: Buckets of suffixes hold bytes, so there are more of them than of fingerprints.
+MORE_BUCKETS = 4
+LEADING = 16
 
 
-def _cover_for(length: int) -> tuple[int, tuple[int, ...]]:
-    """Period and residues; short strings take every place."""
-    return (PERIOD, COVER) if length >= 2 * PERIOD else (1, (0,))
+def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
+    """The largest cover whose sample suffixes are at least as long as its period."""
+    period = max(v for v in COVERS if 2 * v <= length + 1)
+    return period, COVERS[period]
 
 
 class _Chunk:
     """One chunk's bytes with its cover sample."""
 
-    def __init__(self, rows: pa.Table, length: int, bits: int):
-        self.period, residues = _cover_for(length)
-        self.length, prefix = length, length - self.period + 1
+    def __init__(self, rows: pa.Table, length: int):
+        self.period, residues = cover_for(length)
+        self.length, self.prefix = length, length - self.period + 1
         self.data, self.offsets = fp.text_bytes(rows.column("text"))
         sizes = np.diff(self.offsets)
-        in_cover = np.zeros(self.period, bool)
-        in_cover[list(residues)] = True
-        first = np.repeat(self.offsets[:-1], sizes)
-        end = np.repeat(self.offsets[1:], sizes)
-        place = np.arange(len(self.data))
-        self.sample = np.flatnonzero(in_cover[(place - first) % self.period] & (place + prefix <= end))
-        self.first, self.end = first[self.sample], end[self.sample]
+        longest = int(sizes.max(initial=0))
+        places = (np.arange(0, longest + 1, self.period)[:, None] + np.array(residues)).reshape(-1)
+        held = np.searchsorted(places, sizes - self.prefix, side="right")
+        row = np.repeat(np.arange(len(sizes)), held)
+        self.first, self.end = self.offsets[row], self.offsets[row + 1]
+        self.sample = self.first + places[np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)]
         self.rolling = fp.Rolling(fp.byte_values(self.data))
-        self.rank = self.rolling.at(self.sample, prefix) >> fp.U64(64 - bits)
+        self.key = self.rolling.at(self.sample, self.prefix)
 
     def keep(self, mask: np.ndarray) -> None:
-        self.sample, self.first, self.end, self.rank = self.sample[mask], self.first[mask], self.end[mask], self.rank[mask]
-
-    def contexts(self) -> None:
-        """Sets each sample suffix's context, and the first and last start of a string through it."""
+        self.sample, self.first, self.end, self.key = self.sample[mask], self.first[mask], self.end[mask], self.key[mask]
+
+    def list_suffixes(self, buckets: int) -> None:
+        """The distinct sample suffixes by bucket and leading bytes: their places, buckets, whether they repeat, and which one each place holds."""
+        key, first, of, count = np.unique(self.key, return_index=True, return_inverse=True, return_counts=True)
+        place = self.sample[first]
+        leading = self.rolling.at(place, min(LEADING, self.prefix)) >> fp.U64(32)
+        home = ((leading * fp.U64(buckets)) >> fp.U64(32)).astype(np.int64)
+        lead = np.zeros(len(place), fp.U64)
+        for i in range(min(8, self.prefix)):
+            lead = (lead << fp.U64(8)) | self.data[place + i].astype(fp.U64)
+        order = np.lexsort((key, lead, home))
+        nth = np.empty_like(order)
+        nth[order] = np.arange(len(order))
+        self.of, self.home, self.place, self.multi = nth[of], home[order], place[order], count[order] > 1
+
+    def list_contexts(self, rank: np.ndarray) -> None:
+        """Given the ranks of the listed suffixes (0 drops out), the distinct (bucket, rank, context) in order, and which one each place holds."""
+        rank, home = rank[self.of], self.home[self.of]
+        some = rank > 0
+        self.keep(some)
+        rank, home = rank[some], home[some]
         low = np.maximum(self.first, self.sample - (self.period - 1))
         high = np.minimum(self.end, self.sample + self.length)
-        whole = self.rolling.at(low, high - low) + (self.sample - low).astype(fp.U64) * fp.U64(0xC2B2AE3D27D4EB4F)
-        self.context = fp.mix(whole) >> fp.U64(64 - CONTEXT_BITS)
+        context = fp.mix(self.rolling.at(low, high - low) + (self.sample - low).astype(fp.U64) * fp.U64(0xC2B2AE3D27D4EB4F))
         self.low, self.high = low, np.minimum(self.sample, self.end - self.length)
+        order = np.lexsort((context, rank, home))
+        new = np.concatenate(([True], (home[order][1:] != home[order][:-1]) | (rank[order][1:] != rank[order][:-1]) | (context[order][1:] != context[order][:-1])))[: len(order)]
+        at = np.flatnonzero(new)
+        self.of = np.empty_like(order)
+        self.of[order] = np.cumsum(new) - 1
+        self.at = order[at]  # one place of each
+        self.home, self.rank, self.context = home[self.at], rank[self.at], context[self.at]
+        self.multi = np.diff(at, append=len(order)) > 1
 
     def starts(self, mask: np.ndarray) -> np.ndarray:
         """All starts of strings through the sample suffixes in ``mask``."""
@@ -87,17 +128,34 @@ class _Chunk:
         some = high >= low
         return np.flatnonzero(np.cumsum(np.bincount(low[some], minlength=n + 2) - np.bincount(high[some] + 1, minlength=n + 2))[:n])
 
-    def strings(self, start: np.ndarray) -> np.ndarray:
-        return self.rolling.at(start, self.length) >> fp.FLAG_BITS
+    def cut_out(self, home: np.ndarray, send) -> list[tuple[int, bytes]]:
+        """``send(a, b)`` for the range of every bucket in the ascending ``home``."""
+        at = [0, *(np.flatnonzero(home[1:] != home[:-1]) + 1).tolist(), len(home)]
+        return [(int(home[a]), send(a, b)) for a, b in zip(at, at[1:], strict=False) if b > a]
+
 
+def rank_suffixes(prefix: int):
+    """Sorts a bucket's suffixes by their bytes; per chunk the rank of each one that it sent, 0 for those that are alone."""
 
-def _tie(rank: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """One 62-bit name for a rank and a context."""
-    return fp.mix(rank * fp.U64(0x9E3779B97F4A7C15) ^ (context << fp.U64(16))) >> fp.FLAG_BITS
+    def resolve(blobs: list[bytes]) -> list[bytes]:
+        parts = [fp.unbundle(b) for b in blobs]
+        rows = [fp.stretch(p[1], np.uint8, -1, prefix) for p in parts]
+        sizes = [len(r) for r in rows]
+        multi = np.concatenate([np.unpackbits(np.frombuffer(p[0], np.uint8), count=n) for p, n in zip(parts, sizes, strict=True)])
+        rows = np.concatenate(rows)
+        order = np.argsort(rows.view(f"S{prefix}").reshape(-1), kind="stable")
+        rows = rows[order]
+        group = np.cumsum(np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))) - 1
+        tied = np.bincount(group) + np.bincount(group, weights=multi[order]) > 1
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.where(tied[group], group + 1, 0)
+        return [fp.pack_aligned(r) for r in np.split(rank, np.cumsum(sizes)[:-1])]
 
+    return resolve
 
-def _resolve_ties(blobs: list[bytes]) -> list[bytes | None]:
-    """MULTI: the context is in two places or more. MARK: its class has other contexts, and this chunk speaks for it."""
+
+def resolve_contexts(blobs: list[bytes]) -> list[bytes]:
+    """Per chunk flags of each (rank, context). MULTI: it is in two places or more. MARK: its rank has other contexts, and this chunk speaks for it."""
     parts = [fp.unpack(b, 2) for b in blobs]
     sizes = [len(p[0]) for p in parts]
     value, context = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -111,66 +169,127 @@ def _resolve_ties(blobs: list[bytes]) -> list[bytes | None]:
     several = (np.bincount(of_rank[new]) > 1)[of_rank]
     flags = np.empty(len(order), fp.U64)
     flags[order] = full * fp.MULTI + (several & new) * fp.MARK
-    out, at = [], 0
-    for (v, c), size in zip(parts, sizes, strict=True):
-        own = flags[at : at + size]
-        at += size
-        some = own > 0
-        out.append(fp.pack(np.sort((_tie(v[some] >> fp.FLAG_BITS, c[some]) << fp.FLAG_BITS) | own[some])) if some.any() else None)
+    return [fp.pack_aligned(f) for f in np.split(flags, np.cumsum(sizes)[:-1])]
+
+
+def _extended(side: np.ndarray) -> list[np.ndarray]:
+    """Fingerprints of the first 0, 1, .. bytes of every row."""
+    values, out = fp.byte_values(side), [np.zeros(len(side), fp.U64)]
+    for i in range(side.shape[1]):
+        out.append(out[-1] * fp.U64(fp.BASE) + values[:, i])
     return out
 
 
-def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def resolve_long_ties(span: int):
+    """Per chunk, for each suffix that it sent, ``span + 1`` bits: whether the string that starts k bytes before it repeats."""
+
+    def resolve(blobs: list[bytes]) -> list[bytes]:
+        parts = [fp.unbundle(b) for b in blobs]
+        ranks = [fp.unpack(p[0])[0] for p in parts]
+        sizes = [len(r) for r in ranks]
+        rank, room = np.concatenate(ranks), np.concatenate([fp.stretch(p[1], np.uint8, -1, 2) for p in parts])
+        before, after = (_extended(np.concatenate([fp.stretch(p[i], np.uint8, n, span) for p, n in zip(parts, sizes, strict=True)])) for i in (2, 3))
+        out = np.zeros((len(rank), span + 1), bool)
+        named = fp.mix(rank * fp.U64(0x9E3779B97F4A7C15))
+        for k in range(span + 1):
+            some = np.flatnonzero((room[:, 0] >= k) & (room[:, 1] >= span - k))
+            string = fp.mix(fp.mix(before[k][some] ^ named[some]) + after[span - k][some] * fp.U64(0xC2B2AE3D27D4EB4F))
+            order = np.argsort(string)
+            string = string[order]
+            tie = np.concatenate((string[1:] == string[:-1], [False]))[: len(order)]
+            tie[1:] |= tie[:-1].copy()
+            out[some[order], k] = tie
+        return [fp.squeeze(np.packbits(x, axis=1)) for x in np.split(out, np.cumsum(sizes)[:-1])]
+
+    return resolve
+
+
+def repeated_bytes(
+    docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), characters: bool = False, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
     """Per row: id, n_bytes, n_removed, span_starts and span_ends (maximal removed runs, in bytes), kept (binary),
-    and ``row``, a struct of the columns in ``keep``."""
+    and ``row``, a struct of the columns in ``keep``. With ``characters`` kept is text, without the parts of characters
+    that a removal has cut; a null text stays null."""
     if length < 1:
         raise ValueError("length must be positive")
     plan = rounds.layout(docs, text_col, chunk_bytes, bucket_bytes)
-    corpus = rounds.chunked(docs, id_col, text_col, plan.chunks, **({"row": F.struct(*keep)} if keep else {}))
-    bits, buckets = plan.filter_bits, plan.buckets
-
-    def ranks(rows: pa.Table, _: list[bytes]):
-        return fp.by_bucket(fp.distinct(_Chunk(rows, length, bits).rank << fp.FLAG_BITS), bits + 2, buckets)
-
-    def ties(rows: pa.Table, said: list[bytes]):
-        chunk = _Chunk(rows, length, bits)
-        chunk.keep(fp.member(_told(said), chunk.rank))
-        if not len(chunk.rank):
-            return []
-        chunk.contexts()
-        order = np.lexsort((chunk.context, chunk.rank))
-        rank, context = chunk.rank[order], chunk.context[order]
-        new = np.flatnonzero(np.concatenate(([True], (rank[1:] != rank[:-1]) | (context[1:] != context[:-1]))))
-        multi = (np.diff(new, append=len(rank)) > 1).astype(fp.U64)
-        return fp.by_bucket((rank[new] << fp.FLAG_BITS) | multi, bits + 2, buckets, context[new])
-
-    def tied(rows: pa.Table, told: np.ndarray):
-        """The chunk with only its tied sample suffixes, and their names and flags."""
-        chunk = _Chunk(rows, length, bits)
-        chunk.contexts()
-        name, table = _tie(chunk.rank, chunk.context), told >> fp.FLAG_BITS
-        mask = fp.member(table, name)
-        chunk.keep(mask)
-        chunk.low, chunk.high, name = chunk.low[mask], chunk.high[mask], name[mask]
-        flags = told[np.searchsorted(table, name)] & fp.U64(3) if len(name) else name
-        return chunk, name, flags
-
-    def strings(rows: pa.Table, said: list[bytes]):
-        chunk, name, flags = tied(rows, _told(said))
-        speaks = np.flatnonzero(flags & fp.MARK)
-        speaks = speaks[np.unique(name[speaks], return_index=True)[1]]
-        return fp.by_bucket(fp.distinct(chunk.strings(chunk.starts(speaks)) << fp.FLAG_BITS), 64, buckets)
-
-    def cut(rows: pa.Table, said: list[bytes]) -> pa.Table:
-        kinds = {k: [b[1:] for b in said if b[:1] == k] for k in (b"t", b"s")}
-        chunk, _, flags = tied(rows, _told(kinds[b"t"]))
-        n, offsets = len(chunk.data), chunk.offsets
-        full = np.flatnonzero((flags & fp.MULTI) > 0)
+    corpus = rounds.chunked(docs, id_col, text_col, plan, **({"row": F.struct(*keep)} if keep else {}))
+    shift, buckets, homes = fp.U64(64 - plan.filter_bits), plan.buckets, plan.buckets * MORE_BUCKETS
+    period, _ = cover_for(length)
+    prefix, span = length - period + 1, period - 1
+
+    def prune(rows: pa.Table, _, __):
+        return fp.by_bucket(fp.distinct((_Chunk(rows, length).key >> shift) << fp.FLAG_BITS), plan.filter_bits + 2, buckets), None
+
+    def tied(rows: pa.Table, told: np.ndarray) -> _Chunk:
+        chunk = _Chunk(rows, length)
+        chunk.keep(fp.member(told, chunk.key >> shift))
+        chunk.list_suffixes(homes)
+        return chunk
+
+    def suffixes(rows: pa.Table, said: dict[int, bytes], _):
+        told = told_values(said)
+        chunk = tied(rows, told)
+
+        def send(a: int, b: int) -> bytes:
+            return fp.bundle(np.packbits(chunk.multi[a:b]).tobytes(), fp.squeeze(chunk.data[chunk.place[a:b, None] + np.arange(prefix)]))
+
+        return chunk.cut_out(chunk.home, send), fp.pack(told)
+
+    def ranked(rows: pa.Table, told: bytes, rank: np.ndarray) -> _Chunk:
+        chunk = tied(rows, fp.unpack(told)[0])
+        chunk.list_contexts(rank)
+        return chunk
+
+    def contexts(rows: pa.Table, said: dict[int, bytes], told: bytes | None):
+        if not said:
+            return [], None
+        rank = fp.unpack_aligned(said.values())
+        chunk = ranked(rows, told, rank)
+
+        def send(a: int, b: int) -> bytes:
+            return fp.pack((chunk.rank[a:b].astype(fp.U64) << fp.FLAG_BITS) | chunk.multi[a:b].astype(fp.U64), chunk.context[a:b])
+
+        return chunk.cut_out(chunk.home, send), fp.bundle(told, fp.pack_aligned(rank))
+
+    def remembered(rows: pa.Table, state: bytes) -> _Chunk:
+        told, rank = fp.unbundle(state)[:2]
+        return ranked(rows, told, fp.unpack_aligned([rank]))
+
+    def long_ties(rows: pa.Table, said: dict[int, bytes], state: bytes | None):
+        if not said:
+            return [], None
+        flags = fp.unpack_aligned(said.values())
+        chunk, speaks = remembered(rows, state), np.flatnonzero(flags & 2)
+        rank, home, at = chunk.rank[speaks].astype(fp.U64), chunk.home[speaks], chunk.at[speaks]
+        place, nth = chunk.sample[at][:, None], np.arange(span)
+        room = np.minimum(np.stack((chunk.sample[at] - chunk.first[at], chunk.end[at] - chunk.sample[at] - prefix), axis=1), span).astype(np.uint8)
+        before = np.where(nth < room[:, :1], chunk.data[np.maximum(place - 1 - nth, 0)], 0).astype(np.uint8)
+        after = np.where(nth < room[:, 1:], chunk.data[np.minimum(place + prefix + nth, len(chunk.data) - 1)], 0).astype(np.uint8)
+
+        def send(a: int, b: int) -> bytes:
+            return fp.bundle(fp.pack(rank[a:b]), fp.squeeze(room[a:b]), fp.squeeze(before[a:b]), fp.squeeze(after[a:b]))
+
+        return chunk.cut_out(home, send), fp.bundle(*fp.unbundle(state), fp.pack_aligned(flags))
+
+    def repeats(rows: pa.Table, said: dict[int, bytes], state: bytes | None) -> np.ndarray:
+        """A mark for every byte of the chunk that a repeat covers, and the rows' offsets and bytes."""
+        if state is None:
+            data, offsets = fp.text_bytes(rows.column("text"))
+            return np.zeros(len(data), bool), offsets, data
+        chunk, flags = remembered(rows, state), fp.unpack_aligned([fp.unbundle(state)[2]])
+        full = np.flatnonzero((flags & 1)[chunk.of])
         full = full[chunk.high[full] >= chunk.low[full]]
-        asked = chunk.starts(np.flatnonzero(flags & fp.MARK))
-        found = asked[fp.member(_told(kinds[b"s"]), chunk.strings(asked))]
+        width = -(-(span + 1) // 8)
+        bits = np.concatenate([np.zeros((0, width), np.uint8), *(fp.stretch(b, np.uint8, -1, width) for b in said.values())])
+        who, k = np.nonzero(np.unpackbits(bits, axis=1, count=span + 1))
+        found = chunk.sample[chunk.at[np.flatnonzero(flags & 2)]][who] - k
         low, high = np.concatenate((chunk.low[full], found)), np.concatenate((chunk.high[full], found)) + length
-        gone = np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1))[:n] > 0
+        n = len(chunk.data)
+        return np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1))[:n] > 0, chunk.offsets, chunk.data
+
+    def cut(rows: pa.Table, said: dict[int, bytes], state: bytes | None) -> pa.Table:
+        gone, offsets, data = repeats(rows, said, state)
         upto = np.concatenate(([0], np.cumsum(gone)))
         sizes, removed = np.diff(offsets), upto[offsets[1:]] - upto[offsets[:-1]]
         first, last = gone.copy(), gone.copy()
@@ -183,39 +302,32 @@ def repeated_bytes(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         of = np.searchsorted(offsets, first, side="right") - 1
         spans = pa.array(np.searchsorted(first, offsets), pa.int32())
         left = np.concatenate(([0], np.cumsum(sizes - removed)))
-        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(chunk.data[~gone])])
+        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(data[~gone])]).cast(pa.binary())
+        if characters:
+            texts = zip(rows.column("text"), kept, removed, strict=True)
+            kept = pa.array([None if text.as_py() is None else part.as_py().decode("utf-8", "ignore") if n else text.as_py() for text, part, n in texts], pa.string())
         return pa.table({
             "id": rows.column("id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
             "span_starts": pa.ListArray.from_arrays(spans, pa.array(first - offsets[of], pa.int64())),
             "span_ends": pa.ListArray.from_arrays(spans, pa.array(last - offsets[of], pa.int64())),
-            "kept": kept.cast(pa.binary()), **({"row": rows.column("row")} if keep else {}),
+            "kept": kept, **({"row": rows.column("row")} if keep else {}),
         })
 
-    classes = rounds.answer(rounds.ask(corpus, ranks), lambda blobs: _repeated(blobs, False))
-    tied_names = rounds.answer(rounds.ask(corpus, ties, classes), _resolve_ties)
-    repeats = rounds.answer(rounds.ask(corpus, strings, tied_names), lambda blobs: _repeated(blobs, False))
-    both = tied_names.select("chunk", F.concat(F.lit(b"t"), "blob").alias("blob")).unionByName(repeats.select("chunk", F.concat(F.lit(b"s"), "blob").alias("blob")))
-    kind = corpus.schema["id"].dataType.simpleString()
-    more = f", row {corpus.schema['row'].dataType.simpleString()}" if keep else ""
-    out = rounds.finish(corpus, both, cut, f"id {kind}, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept binary{more}")
+    candidates = rounds.answer(rounds.ask(corpus, prune), repeated_values)
+    ranks = rounds.answer(rounds.ask(corpus, suffixes, candidates), rank_suffixes(prefix))
+    flags = rounds.answer(rounds.ask(corpus, contexts, ranks), resolve_contexts)
+    bits = rounds.answer(rounds.ask(corpus, long_ties, flags), resolve_long_ties(span))
+    kinds = dict(docs.dtypes)
+    more = f", row {docs.select(F.struct(*keep).alias('row')).schema['row'].dataType.simpleString()}" if keep else ""
+    out = rounds.finish(corpus, bits, cut, f"id {kinds[id_col]}, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept {'string' if characters else 'binary'}{more}")
     return out.withColumnRenamed("id", id_col)
 
 
-def whole_characters(left: Column) -> Column:
-    """Bytes as text, without the parts of characters that a removal has cut."""
-
-    def run(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    return F.pandas_udf(run, "string")(left)
-
-
 def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
     """``docs`` with repeated bytes removed from the texts; rows and columns as they are, but for ``n_chars``, which follows."""
     keep = tuple(c for c in docs.columns if c != text_col)
-    found = repeated_bytes(docs, length, id_col, text_col, keep=keep, **sizes)
-    found = found.withColumn("_text", F.when(F.col("n_removed") > 0, whole_characters(F.col("kept"))).otherwise(F.col("kept").cast("string")))
-    out = {c: F.col("row")[c] for c in keep} | {text_col: F.col("_text")}
+    found = repeated_bytes(docs, length, id_col, text_col, keep=keep, characters=True, **sizes)
+    out = {c: F.col("row")[c] for c in keep} | {text_col: F.col("kept")}
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+        out["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
     return found.select(*(out[c].alias(c) for c in docs.columns))

@@ -395,21 +395,60 @@ def brute_base(rows, held):
     return [(len(tok(t)), sum(count[w] > 0 for w in tok(t)), n, sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tok(t))) for _, t in rows]
 
 
-def test_lm_score(spark):
+def brute_scores(rows, held, weight=0.5, frequent=1 << 60):
+    """The interpolated model with true counts, quantised to the least of their level."""
+    tok = lambda t: [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(t or "")] + [None]
+    one, two = Counter(), Counter()
+    for (_, t), h in zip(rows, held, strict=True):
+        if not h:
+            one.update(tok(t))
+            two.update(zip([None, *tok(t)], tok(t), strict=False))
+    n, v = sum(one.values()), len(one)
+    p1 = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+
+    def least(c):
+        unit = frequent if c >= frequent else 1
+        return unit * 2 ** ((c // unit).bit_length() - 1) if c else 0
+
+    def p(a, w):
+        return weight * min(least(two[a, w]) / one[a], 1) + (1 - weight) * p1(w) if one[a] else p1(w)
+
+    return [sum(math.log10(p(a, w)) for a, w in zip([None, *tok(t)], tok(t), strict=False)) for _, t in rows]
+
+
+@pytest.mark.parametrize("head_entries", [1 << 20, 20, 1])
+def test_lm_score(spark, head_entries):
     rows = lm_rows(1)
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in rows]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", F.lit("clash"))
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
-    got = lm_score.score(df, train, chunk_bytes=1_500, bucket_bytes=1_000).collect()
+    got = lm_score.score(df, train, chunk_bytes=1_500, bucket_bytes=1_000, head_entries=head_entries).collect()
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == sorted((a, b, c, round(d, 6)) for a, b, c, d in brute_base(rows, held))
-    assert all(r["score"] <= 1e-9 for r in got)
-    several = lm_score.score(df, train, chunk_bytes=1_500, bucket_bytes=1_000, max_filter_bytes=60).collect()
-    assert np.allclose(sorted(r["score"] for r in got), sorted(r["score"] for r in several))
+    size = sum(len((t or "").encode()) for _, t in rows)
+    want = {(r[0], round(b, 6)): s for r, (*_, b), s in zip(rows, brute_base(rows, held), brute_scores(rows, held, frequent=max(1, size // (2 * head_entries))), strict=True)}
+    apart = [r["score"] - want[r["doc_id"], round(r["base_score"], 6)] for r in got]
+    assert min(apart) > -1e-6 and np.mean(np.abs(apart) < 1e-6) > 0.5 and max(apart) < 6  # false hits only raise a score
+
+
+def test_lm_without_training(spark):
+    df = spark.createDataFrame(lm_rows(1), "doc_id long, text string")
     nothing = lm_score.score(df, F.lit(False)).collect()
-    assert {r["train_tokens"] for r in nothing} == {0} and all(r["base_score"] == 0 for r in nothing)
+    assert {r["train_tokens"] for r in nothing} == {0} and all(r["base_score"] == 0 and r["score"] == 0 for r in nothing)
     assert lm_score.score(empty(spark), F.lit(True)).collect() == []
 
 
+def test_lm_probabilities_add_up(spark):
+    """The probabilities of all texts of no or one word, the unseen one too, are at most 1 in all."""
+    vocabulary = [f"w{i}" for i in range(30)]
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(vocabulary[: 1 + i % 30]) for _ in range(20))) for i in range(60)]
+    probes = [(1000 + i, w) for i, w in enumerate([*vocabulary, "never"])]
+    got = {x["doc_id"]: x["score"] for x in lm_score.score(spark.createDataFrame([*rows, *probes, (2000, "")], "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    assert all(s < 0 for s in got.values())
+    first = 10 ** got[2000]  # the end token after the end token
+    assert first + sum(10 ** got[i] for i, _ in probes) <= 1.001
+
+
 def test_lm_prefers_seen_order(spark):
     seen = [(i, "the cat sat on the mat and the dog lay by the door") for i in range(20)]
     rows = [*seen, (100, "the cat sat on the mat"), (101, "mat the on sat cat the")]
@@ -423,7 +462,7 @@ def test_lm_knows_bigrams_seen_once(spark):
     got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 100).collect()}
     n, types = got[100]["train_tokens"], 5 + 30 + 1
     once, end = 1.5 / (n + 0.5 * (types + 1)), 21.5 / (n + 0.5 * (types + 1))
-    true = math.log10(0.25 / 21 + 0.75 * once) + 29 * math.log10(0.25 + 0.75 * once) + math.log10(0.25 + 0.75 * end)
+    true = math.log10(0.5 / 21 + 0.5 * once) + 29 * math.log10(0.5 + 0.5 * once) + math.log10(0.5 + 0.5 * end)
     assert got[100]["score"] == pytest.approx(true) == pytest.approx(got[50]["score"])
     assert got[101]["base_score"] == pytest.approx(got[100]["base_score"]) and got[101]["score"] < got[100]["score"] - 10
 
@@ -431,8 +470,9 @@ def test_lm_knows_bigrams_seen_once(spark):
 def test_filter_levels():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 5_000).astype(np.uint64))
     counts = np.random.default_rng(2).integers(1, 200, len(keys))
-    part = lm_score.build_part(keys, counts, 2)
-    level, here = lm_score.Filter({0: part}, 40, 1).levels(keys)
     true = lm_score.levels_of(counts, 2)
-    assert here.all() and (level >= true).all() and (level == true).mean() > 0.97
-    assert lm_score.expected_count(np.array([0, 1, 2, 3]), 2).tolist() == [0.0, 2.5, 5.5, 11.5]
+    for bits, hashes, exact in ((lm_score.TAIL_BITS, lm_score.TAIL_HASHES, 0.97), (lm_score.HEAD_BITS, lm_score.HEAD_HASHES, 0.999)):
+        level = lm_score.Filter({0: lm_score.build_part(keys, counts, 2, bits, hashes)}, 40, 1, hashes).levels(keys)
+        assert (level >= true).all() and (level == true).mean() > exact
+    assert lm_score.levels_of(np.array([0, 1, 2, 3, 4, 7, 8]), 2).tolist() == [0, 0, 1, 1, 2, 2, 3]
+    assert lm_score.least_count(np.array([0, 1, 2, 3]), 2).tolist() == [0.0, 2.0, 4.0, 8.0]

@@ -4,10 +4,12 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
-from millrace.llm import suffix_dedup
-from millrace.llm.substring_dedup import repeated_words
-from millrace.llm.suffix_dedup import COVER, PERIOD, repeated_bytes
+from millrace.llm import fingerprints as fp
+from millrace.llm import rounds
+from millrace.llm.substring_dedup import repeated_pairs, repeated_words, told_pairs
+from millrace.llm.suffix_dedup import COVERS, cover_for, rank_suffixes, repeated_bytes, without_repeats
 
 
 def brute(items, n):
@@ -73,5 +75,52 @@ def test_empty_tables(spark):
 
 
 def test_cover():
-    assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
-    assert suffix_dedup._cover_for(50) == (1, (0,))
+    for period, residues in COVERS.items():
+        assert {(a - b) % period for a in residues for b in residues} == set(range(period))
+    assert [cover_for(n)[0] for n in (200, 181, 180, 50, 1)] == [91, 91, 57, 13, 1]
+
+
+def test_ranks_are_the_order_of_the_bytes():
+    """Sample suffixes of several chunks, ranked in one bucket: equal bytes have equal ranks, and the ranks ascend with the bytes."""
+    prefix, r = 110, random.Random(4)
+    pool = sorted({bytes(r.choice(b"ab\x00\xff") for _ in range(prefix)) for _ in range(40)} | {b"a" * 60 + bytes([c]) * 50 for c in (0, 7, 255)} | {b"a" * 109 + bytes([c]) for c in (0, 255)})
+    chunks = [r.sample(pool, 25) for _ in range(4)]
+    multi = [[r.random() < 0.1 for _ in c] for c in chunks]
+    blobs = [fp.bundle(np.packbits(m).tobytes(), fp.squeeze(np.frombuffer(b"".join(c), np.uint8))) for c, m in zip(chunks, multi, strict=True)]
+    ranks = [fp.unpack_aligned([b]).tolist() for b in rank_suffixes(prefix)(blobs)]
+    places = Counter()
+    for c, m in zip(chunks, multi, strict=True):
+        for suffix, twice in zip(c, m, strict=True):
+            places[suffix] += 1 + twice
+    order = {s: i + 1 for i, s in enumerate(sorted(places))}
+    for c, own in zip(chunks, ranks, strict=True):
+        assert own == [order[s] if places[s] > 1 else 0 for s in c]
+
+
+def test_repeated_rows_lie_in_several_chunks(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(None, text)] * 5000, "doc_id long, text string").coalesce(2)
+    plan = rounds.layout(df, "text", 50_000, 50_000)
+    assert rounds.chunked(df, "doc_id", "text", plan).count() > 15
+    got = repeated_words(df, 35, chunk_bytes=50_000, bucket_bytes=50_000).groupBy("doc_id", "n_words", "n_removed", "kept").count().collect()
+    assert [tuple(g) for g in got] == [(None, 60, 60, "", 5000)]
+    got = repeated_bytes(df, 150, chunk_bytes=50_000, bucket_bytes=50_000).groupBy("n_removed").count().collect()
+    assert [tuple(g) for g in got] == [(len(text), 5000)]
+
+
+def test_pairs_are_told_apart_by_their_checks():
+    """Two windows of one value but different checks are not a repeat."""
+    a = fp.pack(np.array([5 << 2, 9 << 2], np.uint64), np.array([1, 1], np.uint64))
+    b = fp.pack(np.array([5 << 2, 9 << 2], np.uint64), np.array([2, 1], np.uint64))
+    assert [[x.tolist() for x in fp.unpack(o, 2)] for o in repeated_pairs([a, b])] == [[[9], [1]], [[9], [1]]]
+    told = {0: fp.pack(np.array([5, 5, 9], np.uint64), np.array([1, 2, 1], np.uint64))}
+    value, check = np.array([5, 5, 5, 9, 8], np.uint64), np.array([1, 2, 3, 1, 1], np.uint64)
+    assert told_pairs(told, value, check).tolist() == [True, True, False, True, False]
+
+
+def test_clashing_columns_and_lost_characters(spark):
+    text = "é" * 150
+    rows = [(1, text + "x", "a", 151, 7), (2, "y" + text, "b", 151, 8), (3, None, None, 0, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, n_chars long, chunk int")
+    got = {r["doc_id"]: tuple(r) for r in without_repeats(df, 200).collect()}
+    assert got == {1: (1, "x", "a", 1, 7), 2: (2, "y", "b", 1, 8), 3: (3, None, None, 0, 9)}
