@@ -60,9 +60,19 @@ def _inverse_powers(n: int) -> np.ndarray:
 class Rolling:
     """Fingerprints of any substrings of one sequence of 64-bit values."""
 
-    def __init__(self, values: np.ndarray):
-        self.prefix = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * _powers(BASE, len(values)), dtype=U64, out=self.prefix[1:])
+    def __init__(self, values: np.ndarray, table: np.ndarray | None = None):
+        """``values``, or with a ``table`` the places of the values in it; in blocks that fit a cache."""
+        n, block = len(values), 1 << 15
+        self.prefix, powers = np.zeros(n + 1, U64), _powers(BASE, n)
+        for a in range(0, n, block):
+            own, out = values[a : a + block], self.prefix[a + 1 : a + block + 1]
+            np.cumsum((own if table is None else table[own]) * powers[a : a + block], dtype=U64, out=out)
+            out += self.prefix[a]
+
+    @classmethod
+    def of_bytes(cls, data: np.ndarray, other: bool = False) -> Rolling:
+        """Of bytes, by their random values."""
+        return cls(data, _coefficients(other))
 
     def at(self, start: np.ndarray, length) -> np.ndarray:
         """Fingerprints of the substrings at ``start`` of ``length`` (a number or an array)."""
@@ -115,7 +125,7 @@ def words(data: np.ndarray, offsets: np.ndarray, other: bool = False) -> tuple[n
     ends = offsets[1:][offsets[1:] > 0] - 1
     last[ends] |= inside[ends]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return Rolling(byte_values(data, other)).at(start, end - start), np.searchsorted(start, offsets)
+    return Rolling.of_bytes(data, other).at(start, end - start), np.searchsorted(start, offsets)
 
 
 def row_ends(offsets: np.ndarray) -> np.ndarray:

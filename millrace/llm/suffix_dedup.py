@@ -48,6 +48,7 @@ from .substring_dedup import repeated_values, told_values
 
 #: Perfect difference sets (fixed values): every residue modulo the key is a difference of two of the numbers.
 COVERS = {
+    133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109),
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
     57: (0, 1, 3, 13, 32, 36, 43, 52),
     31: (1, 5, 11, 24, 25, 27),
@@ -63,31 +64,29 @@ LEADING = 16
 
 
 def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
-    """The largest cover whose sample suffixes are at least as long as its period."""
-    period = max(v for v in COVERS if 2 * v <= length + 1)
+    """The largest cover that leaves a third of ``length`` for the sample suffixes: few samples, and few ties by chance."""
+    period = max(v for v in COVERS if 3 * (v - 1) <= 2 * length)
     return period, COVERS[period]
 
 
 class _Chunk:
-    """One chunk's bytes with its cover sample."""
+    """One chunk's bytes."""
 
     def __init__(self, rows: pa.Table, length: int):
-        self.period, residues = cover_for(length)
+        self.period, self.residues = cover_for(length)
         self.length, self.prefix = length, length - self.period + 1
         self.data, self.offsets = fp.text_bytes(rows.column("text"))
+
+    def sample_suffixes(self) -> None:
+        """Sets the places of the cover sample and the fingerprints of their suffixes."""
         sizes = np.diff(self.offsets)
-        longest = int(sizes.max(initial=0))
-        places = (np.arange(0, longest + 1, self.period)[:, None] + np.array(residues)).reshape(-1)
+        places = (np.arange(0, int(sizes.max(initial=0)) + 1, self.period)[:, None] + np.array(self.residues)).reshape(-1)
         held = np.searchsorted(places, sizes - self.prefix, side="right")
-        row = np.repeat(np.arange(len(sizes)), held)
-        self.first, self.end = self.offsets[row], self.offsets[row + 1]
-        self.sample = self.first + places[np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)]
-        self.rolling = fp.Rolling(fp.byte_values(self.data))
+        nth = np.arange(int(held.sum())) - np.repeat(np.cumsum(held) - held, held)
+        self.sample = np.repeat(self.offsets[:-1], held) + places[nth]
+        self.rolling = fp.Rolling.of_bytes(self.data)
         self.key = self.rolling.at(self.sample, self.prefix)
 
-    def keep(self, mask: np.ndarray) -> None:
-        self.sample, self.first, self.end, self.key = self.sample[mask], self.first[mask], self.end[mask], self.key[mask]
-
     def list_suffixes(self, buckets: int) -> None:
         """The distinct sample suffixes by bucket and leading bytes: their places, buckets, whether they repeat, and which one each place holds."""
         key, first, of, count = np.unique(self.key, return_index=True, return_inverse=True, return_counts=True)
@@ -102,36 +101,35 @@ class _Chunk:
         nth[order] = np.arange(len(order))
         self.of, self.home, self.place, self.multi = nth[of], home[order], place[order], count[order] > 1
 
-    def list_contexts(self, rank: np.ndarray) -> None:
-        """Given the ranks of the listed suffixes (0 drops out), the distinct (bucket, rank, context) in order, and which one each place holds."""
-        rank, home = rank[self.of], self.home[self.of]
-        some = rank > 0
-        self.keep(some)
-        rank, home = rank[some], home[some]
-        low = np.maximum(self.first, self.sample - (self.period - 1))
-        high = np.minimum(self.end, self.sample + self.length)
-        context = fp.mix(self.rolling.at(low, high - low) + (self.sample - low).astype(fp.U64) * fp.U64(0xC2B2AE3D27D4EB4F))
-        self.low, self.high = low, np.minimum(self.sample, self.end - self.length)
+    def within(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the row of each sample place begins and ends."""
+        row = np.searchsorted(self.offsets, self.sample, side="right") - 1
+        return self.offsets[row], self.offsets[row + 1]
+
+    def list_contexts(self, home: np.ndarray, rank: np.ndarray) -> None:
+        """Given each place's bucket and rank, the distinct (bucket, rank, context) in order, whether they repeat, and which one each place holds."""
+        first, end = self.within()
+        low, high = np.maximum(first, self.sample - (self.period - 1)), np.minimum(end, self.sample + self.length)
+        context = fp.mix(fp.Rolling.of_bytes(self.data).at(low, high - low) + (self.sample - low).astype(fp.U64) * fp.U64(0xC2B2AE3D27D4EB4F))
         order = np.lexsort((context, rank, home))
-        new = np.concatenate(([True], (home[order][1:] != home[order][:-1]) | (rank[order][1:] != rank[order][:-1]) | (context[order][1:] != context[order][:-1])))[: len(order)]
+        home, rank, context = home[order], rank[order], context[order]
+        new = np.concatenate(([True], (home[1:] != home[:-1]) | (rank[1:] != rank[:-1]) | (context[1:] != context[:-1])))[: len(order)]
         at = np.flatnonzero(new)
         self.of = np.empty_like(order)
         self.of[order] = np.cumsum(new) - 1
-        self.at = order[at]  # one place of each
-        self.home, self.rank, self.context = home[self.at], rank[self.at], context[self.at]
-        self.multi = np.diff(at, append=len(order)) > 1
+        self.home, self.rank, self.context, self.multi = home[at], rank[at], context[at], np.diff(at, append=len(order)) > 1
+
+    def one_place_each(self, count: int) -> np.ndarray:
+        """For each of ``count`` listed contexts the first place that holds it."""
+        at = np.zeros(count, np.int64)
+        at[self.of[::-1]] = np.arange(len(self.of))[::-1]
+        return at
 
-    def starts(self, mask: np.ndarray) -> np.ndarray:
-        """All starts of strings through the sample suffixes in ``mask``."""
-        n = len(self.data)
-        low, high = self.low[mask], self.high[mask]
-        some = high >= low
-        return np.flatnonzero(np.cumsum(np.bincount(low[some], minlength=n + 2) - np.bincount(high[some] + 1, minlength=n + 2))[:n])
 
-    def cut_out(self, home: np.ndarray, send) -> list[tuple[int, bytes]]:
-        """``send(a, b)`` for the range of every bucket in the ascending ``home``."""
-        at = [0, *(np.flatnonzero(home[1:] != home[:-1]) + 1).tolist(), len(home)]
-        return [(int(home[a]), send(a, b)) for a, b in zip(at, at[1:], strict=False) if b > a]
+def _by_home(home: np.ndarray, send) -> list[tuple[int, bytes]]:
+    """``send(a, b)`` for the range of every bucket in the ascending ``home``."""
+    at = [0, *(np.flatnonzero(home[1:] != home[:-1]) + 1).tolist(), len(home)]
+    return [(int(home[a]), send(a, b)) for a, b in zip(at, at[1:], strict=False) if b > a]
 
 
 def rank_suffixes(prefix: int):
@@ -218,78 +216,89 @@ def repeated_bytes(
     period, _ = cover_for(length)
     prefix, span = length - period + 1, period - 1
 
-    def prune(rows: pa.Table, _, __):
-        return fp.by_bucket(fp.distinct((_Chunk(rows, length).key >> shift) << fp.FLAG_BITS), plan.filter_bits + 2, buckets), None
+    # What a chunk remembers: its tied places, and which listed suffix, later which listed context, each one holds.
 
-    def tied(rows: pa.Table, told: np.ndarray) -> _Chunk:
+    def prune(rows: pa.Table, _, __):
         chunk = _Chunk(rows, length)
-        chunk.keep(fp.member(told, chunk.key >> shift))
-        chunk.list_suffixes(homes)
-        return chunk
+        chunk.sample_suffixes()
+        return fp.by_bucket(fp.distinct((chunk.key >> shift) << fp.FLAG_BITS), plan.filter_bits + 2, buckets), None
 
     def suffixes(rows: pa.Table, said: dict[int, bytes], _):
-        told = told_values(said)
-        chunk = tied(rows, told)
+        if not said:
+            return [], None
+        chunk = _Chunk(rows, length)
+        chunk.sample_suffixes()
+        tied = fp.member(told_values(said), chunk.key >> shift)
+        chunk.sample, chunk.key = chunk.sample[tied], chunk.key[tied]
+        chunk.list_suffixes(homes)
 
         def send(a: int, b: int) -> bytes:
             return fp.bundle(np.packbits(chunk.multi[a:b]).tobytes(), fp.squeeze(chunk.data[chunk.place[a:b, None] + np.arange(prefix)]))
 
-        return chunk.cut_out(chunk.home, send), fp.pack(told)
+        return _by_home(chunk.home, send), fp.bundle(fp.pack(chunk.sample.astype(fp.U64)), fp.pack_aligned(chunk.of))
+
+    def remembered(rows: pa.Table, state: bytes) -> tuple[_Chunk, list[bytes]]:
+        chunk, parts = _Chunk(rows, length), fp.unbundle(state)
+        chunk.sample, chunk.of = fp.unpack(parts[0])[0].astype(np.int64), fp.unpack_aligned(parts[1:2])
+        return chunk, parts[2:]
 
-    def ranked(rows: pa.Table, told: bytes, rank: np.ndarray) -> _Chunk:
-        chunk = tied(rows, fp.unpack(told)[0])
-        chunk.list_contexts(rank)
-        return chunk
+    def answered(said: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each listed one's bucket and answer."""
+        values = [fp.unpack_aligned([b]) for b in said.values()]
+        return np.repeat(list(said), [len(v) for v in values]), np.concatenate(values)
 
-    def contexts(rows: pa.Table, said: dict[int, bytes], told: bytes | None):
+    def contexts(rows: pa.Table, said: dict[int, bytes], state: bytes | None):
         if not said:
             return [], None
-        rank = fp.unpack_aligned(said.values())
-        chunk = ranked(rows, told, rank)
+        chunk, _ = remembered(rows, state)
+        home, rank = (x[chunk.of] for x in answered(said))
+        chunk.sample = chunk.sample[rank > 0]
+        chunk.list_contexts(home[rank > 0], rank[rank > 0])
 
         def send(a: int, b: int) -> bytes:
             return fp.pack((chunk.rank[a:b].astype(fp.U64) << fp.FLAG_BITS) | chunk.multi[a:b].astype(fp.U64), chunk.context[a:b])
 
-        return chunk.cut_out(chunk.home, send), fp.bundle(told, fp.pack_aligned(rank))
-
-    def remembered(rows: pa.Table, state: bytes) -> _Chunk:
-        told, rank = fp.unbundle(state)[:2]
-        return ranked(rows, told, fp.unpack_aligned([rank]))
+        return _by_home(chunk.home, send), fp.bundle(fp.pack(chunk.sample.astype(fp.U64)), fp.pack_aligned(chunk.of), fp.pack_aligned(chunk.rank))
 
     def long_ties(rows: pa.Table, said: dict[int, bytes], state: bytes | None):
         if not said:
             return [], None
-        flags = fp.unpack_aligned(said.values())
-        chunk, speaks = remembered(rows, state), np.flatnonzero(flags & 2)
-        rank, home, at = chunk.rank[speaks].astype(fp.U64), chunk.home[speaks], chunk.at[speaks]
-        place, nth = chunk.sample[at][:, None], np.arange(span)
-        room = np.minimum(np.stack((chunk.sample[at] - chunk.first[at], chunk.end[at] - chunk.sample[at] - prefix), axis=1), span).astype(np.uint8)
-        before = np.where(nth < room[:, :1], chunk.data[np.maximum(place - 1 - nth, 0)], 0).astype(np.uint8)
-        after = np.where(nth < room[:, 1:], chunk.data[np.minimum(place + prefix + nth, len(chunk.data) - 1)], 0).astype(np.uint8)
+        chunk, (rank,) = remembered(rows, state)
+        home, flags = answered(said)
+        speaks = np.flatnonzero(flags & 2)
+        at = chunk.one_place_each(len(flags))[speaks]
+        first, end = (x[at] for x in chunk.within())
+        rank, home, place, nth = fp.unpack_aligned([rank])[speaks].astype(fp.U64), home[speaks], chunk.sample[at], np.arange(span)
+        room = np.minimum(np.stack((place - first, end - place - prefix), axis=1), span).astype(np.uint8)
 
         def send(a: int, b: int) -> bytes:
-            return fp.bundle(fp.pack(rank[a:b]), fp.squeeze(room[a:b]), fp.squeeze(before[a:b]), fp.squeeze(after[a:b]))
+            before = np.where(nth < room[a:b, :1], chunk.data[np.maximum(place[a:b, None] - 1 - nth, 0)], np.uint8(0))
+            after = np.where(nth < room[a:b, 1:], chunk.data[np.minimum(place[a:b, None] + prefix + nth, len(chunk.data) - 1)], np.uint8(0))
+            return fp.bundle(fp.pack(rank[a:b]), fp.squeeze(room[a:b]), fp.squeeze(before), fp.squeeze(after))
 
-        return chunk.cut_out(home, send), fp.bundle(*fp.unbundle(state), fp.pack_aligned(flags))
+        return _by_home(home, send), fp.bundle(*fp.unbundle(state)[:2], fp.pack_aligned(flags))
 
-    def repeats(rows: pa.Table, said: dict[int, bytes], state: bytes | None) -> np.ndarray:
-        """A mark for every byte of the chunk that a repeat covers, and the rows' offsets and bytes."""
-        if state is None:
-            data, offsets = fp.text_bytes(rows.column("text"))
-            return np.zeros(len(data), bool), offsets, data
-        chunk, flags = remembered(rows, state), fp.unpack_aligned([fp.unbundle(state)[2]])
-        full = np.flatnonzero((flags & 1)[chunk.of])
-        full = full[chunk.high[full] >= chunk.low[full]]
+    def repeats(chunk: _Chunk, flags: np.ndarray, said: dict[int, bytes]) -> np.ndarray:
+        """A mark for every byte of the chunk that a repeat covers."""
+        first, end = chunk.within()
+        low, high = np.maximum(first, chunk.sample - span), np.minimum(chunk.sample, end - length)
+        full = np.flatnonzero(((flags & 1)[chunk.of] > 0) & (high >= low))
         width = -(-(span + 1) // 8)
         bits = np.concatenate([np.zeros((0, width), np.uint8), *(fp.stretch(b, np.uint8, -1, width) for b in said.values())])
         who, k = np.nonzero(np.unpackbits(bits, axis=1, count=span + 1))
-        found = chunk.sample[chunk.at[np.flatnonzero(flags & 2)]][who] - k
-        low, high = np.concatenate((chunk.low[full], found)), np.concatenate((chunk.high[full], found)) + length
+        found = chunk.sample[chunk.one_place_each(len(flags))[np.flatnonzero(flags & 2)]][who] - k
+        low, high = np.concatenate((low[full], found)), np.concatenate((high[full], found)) + length
         n = len(chunk.data)
-        return np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1))[:n] > 0, chunk.offsets, chunk.data
+        return np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1))[:n] > 0
 
     def cut(rows: pa.Table, said: dict[int, bytes], state: bytes | None) -> pa.Table:
-        gone, offsets, data = repeats(rows, said, state)
+        if state is None:
+            chunk = _Chunk(rows, length)
+            gone = np.zeros(len(chunk.data), bool)
+        else:
+            chunk, (flags,) = remembered(rows, state)
+            gone = repeats(chunk, fp.unpack_aligned([flags]), said)
+        data, offsets = chunk.data, chunk.offsets
         upto = np.concatenate(([0], np.cumsum(gone)))
         sizes, removed = np.diff(offsets), upto[offsets[1:]] - upto[offsets[:-1]]
         first, last = gone.copy(), gone.copy()
