@@ -38,7 +38,7 @@ WIDTH = 64
 MAGIC = b"MEDARCH1"
 DIRECTORY = np.dtype([("offset", "<i8"), ("size", "<i8"), ("crc", "<u4"), ("has_id", "u1"), ("id", "<i8"), ("n_bytes", "<i8")])
 ARCHIVE_BYTES = 64_000_000
-RANGE_BYTES = 4_000_000
+RANGE_BYTES = 64_000_000
 BATCH_BYTES = 4_000_000
 ATTEMPTS = 4
 PNG = b"\x89PNG\r\n\x1a\n"
