@@ -41,6 +41,7 @@ rows that repeat an id are kept.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from math import ceil
 
@@ -51,7 +52,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
-from .shared import WORD, written
+from .shared import WORD, discarded, written
 
 GRAM = 5
 SIMILARITY = 0.8
@@ -141,13 +142,22 @@ def signatures(row: np.ndarray, key: np.ndarray, weight: np.ndarray, total: np.n
     return out.view(fp.U64)
 
 
+def _slices(whole: pa.RecordBatch, column: int = 2, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``limit`` bytes of text each; Spark bounds the batch itself by bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < whole.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, side="right")))
+        yield whole.slice(start, end - start)
+        start = end
+
+
 def _sign(registers: int, bands: int, gram: int):
     per = registers // bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in _slices(whole):
                 row, key, weight, total = shingles(batch.column(2), gram)
                 signed = signatures(row, key, weight, total, registers)
                 keys = np.zeros((len(total), bands), fp.U64)
@@ -286,8 +296,10 @@ def components(edges: DataFrame) -> DataFrame:
         near = labels.join(seen, "tid").select("tid", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("tid").alias("comp"), F.col("comp").alias("next"))
         moved = written(near.join(jump, "comp", "left").select("tid", "old", F.least("comp", F.coalesce("next", "comp")).alias("comp")), "near-labels")
+        discarded(labels)
         labels = moved.select("tid", "comp")
         if moved.where("old != comp").isEmpty():
+            discarded(both)
             return labels
 
 
@@ -308,13 +320,15 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     """``docs`` with one row of each class, that with the smallest id; texts without words all stay."""
     named = classified(docs, similarity, id_col=id_col, text_col=text_col, **more)
     order = F.struct(F.col("id").isNull().alias("unknown"), F.col("id"), F.col("tid"))
-    first = named.where("n > 0").groupBy("comp").agg(F.min(order).alias("w")).select(F.col("w")["id"].alias("_w_id"), F.col("w")["tid"].alias("_w_tid"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_tid", F.unhex(F.sha2(text.cast("binary"), 256)))
-    won = rows.join(first, (F.col("_tid") == F.col("_w_tid")) & F.col(id_col).eqNullSafe(F.col("_w_id")))
-    orderable = [F.col(c) for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
-    won = won.withColumn("_nth", F.row_number().over(Window.partitionBy("_tid").orderBy(*orderable))).where("_nth = 1")
-    return won.select(docs.columns).unionByName(docs.where(~text.rlike(WORD)))
+    first = named.where("n > 0").groupBy("comp").agg(F.min(order).alias("won")).select(F.col("won")["id"].alias("id"), F.col("won")["tid"].alias("tid"))
+    # Rows travel as one struct, so that no name of theirs can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    rows = rows.withColumn("tid", F.unhex(F.sha2(text.cast("binary"), 256))).withColumn("id", F.col("row")[id_col])
+    won = rows.join(first.withColumnsRenamed({"id": "won_id", "tid": "won_tid"}), (F.col("tid") == F.col("won_tid")) & F.col("id").eqNullSafe(F.col("won_id")))
+    orderable = [F.col("row")[c] for c, kind in docs.dtypes if not re.search("map<|variant", kind)]
+    won = won.withColumn("nth", F.row_number().over(Window.partitionBy("tid").orderBy(*orderable))).where("nth = 1")
+    return won.select("row").unionByName(rows.where(~text.rlike(WORD)).select("row")).select("row.*")
 
 
 def classified(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,14 +339,17 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM
     kind = cut.schema["id"].dataType.simpleString()
     signed = written(cut.mapInArrow(_sign(registers, bands, gram), f"id {kind}, tid binary, n long, bands array<long>, sketch array<short>"), "near-signed")
     nodes = written(signed.where("n > 0").groupBy("tid").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "near-nodes")
+    named_rows = written(signed.select("id", "tid", "n"), "near-rows")
+    discarded(signed)
     facts = nodes.select("tid", "n", "sketch")
 
     entries = nodes.select("tid", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    entries = written(entries.join(shared, ["band", "key"]), "near-entries")
-    entries = entries.join(entries.groupBy("tid").agg(F.sum("c").alias("company")), "tid")
+    shared = written(entries.join(shared, ["band", "key"]), "near-entries")
+    entries = shared.join(shared.groupBy("tid").agg(F.sum("c").alias("company")), "tid")
     met = entries.groupBy("band", "key").agg(F.max(F.struct("company", "tid"))["tid"].alias("b"))
-    entries = written(entries.join(met, ["band", "key"]).select("tid", "band", "key", "company", "b"), "near-entries")
+    entries = written(entries.join(met, ["band", "key"]).select("tid", "band", "key", "b"), "near-entries")
+    discarded(shared)
     need = entries.select("tid").distinct()
     texts = written(cut.select("tid", "text").join(need, "tid", "left_semi").groupBy("tid").agg(F.any_value("text").alias("text")).withColumn("size", F.octet_length("text")), "near-texts")
     mean_bytes = texts.agg(F.coalesce(F.avg("size"), F.lit(0.0))).first()[0]
@@ -375,4 +392,4 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM
         if not more.isEmpty():
             comps = components(edges.unionByName(more))
 
-    return signed.join(comps, "tid", "left").select("id", "tid", "n", F.coalesce("comp", "tid").alias("comp"))
+    return named_rows.join(comps, "tid", "left").select("id", "tid", "n", F.coalesce("comp", "tid").alias("comp"))
