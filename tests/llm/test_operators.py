@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -115,6 +116,16 @@ def test_quality(spark):
     assert quality.judge(empty(spark)).collect() == [] and quality.keep_quality(empty(spark)).collect() == []
 
 
+def test_rules_are_asked_only_where_no_earlier_one_rejects(spark):
+    df = spark.createDataFrame([("few words",), ("a # b # c # " * 9,)], "text string")
+    bomb = quality.Rule("bomb", lambda m: F.raise_error(F.lit("asked")).cast("boolean"))
+    asked = df.select(quality.rejected_by([quality.BASE[0], quality.RULES[0], bomb], quality.measures(F.col("text"))).alias("by"))
+    assert [r["by"] for r in asked.collect()] == ["few_words", "symbols"]
+    plan = quality.judge(df.withColumn("doc_id", F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x for x in plan.split("\n") if r"\p{L" in x]
+    assert lines and all("CASE WHEN" in x[: x.index(r"\p{L")] for x in lines)
+
+
 def test_cascade_order(spark):
     df = spark.createDataFrame([("a" * 50,)] * 40 + [("b",)] * 10, "text string")
     cheap = quality.Rule("cheap", lambda m: m["n_symbols"] >= 0)
@@ -186,26 +197,58 @@ def test_mixing(spark):
 # archives
 
 
+def read_warc(data):
+    """A record's fields, block and what follows it, as a reader of the format sees them."""
+    head, rest = data.split(b"\r\n\r\n", 1)
+    first, *lines = head.decode().split("\r\n")
+    assert first == "WARC/1.1"
+    fields = dict(x.split(": ", 1) for x in lines)
+    assert len(fields) == len(lines)
+    n = int(fields["Content-Length"])
+    assert rest[n:] == b"\r\n\r\n"
+    return fields, rest[:n]
+
+
 def test_warc(spark):
     long, other = "é" * 600, "z" * 1000
     rows = [(1, "http://a/", long), (2, "http://b/\r\nX: y", long), (3, None, long), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", ""), (8, "u", other), (None, "u", long)]
-    archive = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"address": F.lit(1), "copies": F.lit("x"), "id": F.lit(2), "salt": F.lit(3)})
+    archive = warc.write_archive(df, date="2024-05-06T07:08:09Z")
     got = {r["id"]: r for r in warc.read_records(spark, archive).collect()}
     assert len(got) == len(rows) and archive.payloads(spark).count() == 4
-    for i, _, html in rows:
+    ids = {}
+    for i, url, html in rows:
         g, data = got[i], (html or "").encode()
         assert bytes(g["payload"]) == data and g["payload_bytes"] == len(data) and g["payload_sha1"] == hashlib.sha1(data).hexdigest()
         revisit = i in (1, 2, None)
         assert (g["record_type"], g["refers_to"]) == (("revisit", 3) if revisit else ("response", None))
         assert bytes(g["record"]) == bytes(g["header"]) + (b"" if revisit else data) + b"\r\n\r\n"
-    assert bytes(got[2]["header"]).count(b"\r\nX:") == 0
+        fields, block = read_warc(bytes(g["record"]))
+        ids[i] = fields
+        assert fields["WARC-Date"] == "2024-05-06T07:08:09Z" and fields["Content-Type"] == "application/http; msgtype=response" and fields["WARC-Type"] == g["record_type"]
+        http, body = block.split(b"\r\n\r\n", 1)
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and body == (b"" if revisit else data) and fields["WARC-Payload-Digest"] == "sha1:" + g["payload_sha1"]
+        assert ("WARC-Refers-To" in fields) == revisit
+    assert len({f["WARC-Record-ID"] for f in ids.values()}) == len(rows) and {ids[i]["WARC-Refers-To"] for i in (1, 2, None)} == {ids[3]["WARC-Record-ID"]}
+    assert "X" not in ids[2] and ids[1]["WARC-Refers-To-Target-URI"] == ids[3]["WARC-Target-URI"] == ""
     none = warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_records(spark, none).collect() == []
 
 
+def test_warc_text_ids_and_hot_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES_PER_SALT", 3)
+    page = "<p>" * 400
+    rows = [("p1", "u1", page), ("p:2 %", "u2", page), ("-", "u3", page), (None, "u4", page), ("i", "u5", "x")] + [(f"q{i}", f"v{i}", "") for i in range(20)]
+    archive = warc.write_archive(spark.createDataFrame(rows, "page_id string, url string, html string"))
+    got = warc.read_records(spark, archive).collect()
+    assert Counter((r["id"], r["url"], bytes(r["payload"]).decode()) for r in got) == Counter(rows)
+    assert {r["id"]: r["refers_to"] for r in got if r["record_type"] == "revisit"} == {"p1": "p:2 %", "-": "p:2 %", None: "p:2 %"}
+    assert archive.headers(spark).select("salt").distinct().count() > 2
+
+
 def test_damaged_payload(spark):
     archive = warc.write_archive(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"))
-    spark.createDataFrame([(hashlib.sha256(b"y").digest(), b"not y")], "address binary, payload binary").write.mode("append").parquet(f"{archive.path}/payloads")
+    spark.createDataFrame([(hashlib.sha256(b"y").digest(), 1, b"not y")], "address binary, copies long, payload binary").write.mode("append").parquet(f"{archive.path}/payloads")
     with pytest.raises(Exception, match="differs from its address"):
         archive.payloads(spark).collect()
 
@@ -352,6 +395,26 @@ def test_links_within_a_templated_group(spark, monkeypatch, block):
     assert [i for (i, _), c in zip(rows, names, strict=True) if got[i] != first[c]] == []
 
 
+def test_clashing_names_survive(spark):
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([(1, text, "mine", 5, "r"), (2, text, "yours", 6, "s")], "doc_id long, text string, tid string, nth int, row string")
+    assert [tuple(r) for r in minhash.deduplicated(df).collect()] == [(1, text, "mine", 5, "r")]
+
+
+def test_recall_on_documents(spark):
+    """Against all pairs of a whole table: every row's class is the brute-force one."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(path)
+    rows = sorted((r["doc_id"], r["text"]) for r in df.collect())
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    names, first = brute_classes(rows), {}
+    for (i, _), c in zip(rows, names, strict=True):
+        first.setdefault(c, i)
+    assert [i for (i, _), c in zip(rows, names, strict=True) if got[i] != first[c]] == []
+
+
 def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 1), (1, "a b c d e f", 2), (None, "x y z", 3), (None, "x y z", 4), (5, None, 5), (None, "", 6)], "doc_id long, text string, n long")
     left = sorted(r["n"] for r in minhash.deduplicated(df).collect())
