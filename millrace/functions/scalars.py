@@ -537,7 +537,16 @@ scalar("validate/luhn", 1)(lambda a: F.when(text(a).rlike(r"\A[0-9]+\z"), F.call
 scalar("validate/in_range", 3)(lambda a, lo, hi: num(a).between(num(lo), num(hi)))
 scalar("validate/matches", 2)(_regex_fn(lambda c, p: c.rlike(p), BOOL))
 _JSON_LITERAL = r"\A[ \t\n\r]*(\[|\{|\"|-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?[ \t\n\r]*\z|(true|false|null)[ \t\n\r]*\z)"
-scalar("validate/is_json", 1)(lambda a: F.when(text(a).isNotNull(), text(a).rlike(_JSON_LITERAL) & F.try_parse_json(text(a)).isNotNull()))
+
+
+def _is_json(c: Column) -> Column:
+    """One JSON value and no more: the parser stops after the first, so the text must be all that stands before a mark it can't hold."""
+    mark = F.sha2(c.cast("binary"), 256)
+    parsed = F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"'), mark, F.lit('"]')))
+    return F.when(c.isNotNull(), c.rlike(_JSON_LITERAL) & F.coalesce(F.try_variant_get(parsed, "$[1]", "string") == mark, F.lit(False)))
+
+
+scalar("validate/is_json", 1)(lambda a: _is_json(text(a)))
 
 
 def _is_empty(a):
@@ -597,7 +606,7 @@ def _to_json(a):
     return F.coalesce(a.c.cast(TEXT), F.lit("null"))
 
 
-scalar("encode/parse_json", 1)(lambda a: F.try_parse_json(text(a)))
+scalar("encode/parse_json", 1)(lambda a: F.when(_is_json(text(a)), F.try_parse_json(text(a))))
 
 # gen
 

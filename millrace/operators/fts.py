@@ -80,12 +80,15 @@ def ranked(docs: DataFrame, query: str, id_col: str, text_col: str, limit: int |
 
     spark = SparkSession.getActiveSession() or docs.sparkSession
     words = list(dict.fromkeys(spark.range(1).select(tokens(F.lit(query), kind).alias("t")).first()["t"]))
-    rows = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit("")), kind).alias("t"))
+    # A generator between the words and what is counted: filters below it would split every text once more.
+    split = F.array(tokens(F.coalesce(F.col(text_col), F.lit("")), kind))
+    few = F.inline(F.transform(split, lambda t: F.struct(F.size(t).alias("n"), F.filter(t, lambda x: x.isin(words)).alias("own"))))
+    rows = docs.select(F.col(id_col).alias("id"), few)
 
     def times(word: str) -> Column:
-        return F.size(F.filter("t", lambda x: x == F.lit(word)))
+        return F.size(F.filter("own", lambda x: x == F.lit(word)))
 
-    rows = rows.select("id", F.size("t").alias("n"), *(times(w).alias(f"f{i}") for i, w in enumerate(words)))
+    rows = rows.select("id", "n", *(times(w).alias(f"f{i}") for i, w in enumerate(words)))
     sums = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words"), *(F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(words))))
     counted = sums.first()  # one row of sums
     hit = reduce(lambda a, b: a | b, (F.col(f"f{i}") > 0 for i in range(len(words))), F.lit(False))

@@ -60,7 +60,21 @@ class VersionedTable:
         fs, root, _ = self._fs()
         if not fs.exists(root):
             return []
-        return sorted(int(s.getPath().getName()[7:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("commit="))
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        for name in names:
+            if name.startswith("rewrite="):  # a rewrite that did not end
+                self._replace(int(name[8:]))
+                return self.versions()
+        return sorted(int(n[7:]) for n in names if n.startswith("commit="))
+
+    def _replace(self, top: int) -> None:
+        """Put the folder ``rewrite=top`` in the place of all commits up to ``top``; may be done again from any point."""
+        fs, root, jvm = self._fs()
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith("commit=") and int(name[7:]) <= top:
+                fs.delete(status.getPath(), True)
+        fs.rename(jvm.org.apache.hadoop.fs.Path(f"{self.path}/rewrite={top}"), jvm.org.apache.hadoop.fs.Path(f"{self.path}/commit={top}"))
 
     def version(self) -> int:
         return max(self.versions(), default=0)
@@ -191,14 +205,17 @@ class VersionedTable:
         return hit
 
     def rewrite(self, kept: DataFrame) -> None:
-        """Replace the history by ``kept`` rows of it, as one folder under the newest number (retention, purge)."""
+        """Replace the history by ``kept`` rows of it, as one folder under the newest number (retention, purge).
+
+        The rows are complete under a name of their own before anything is deleted; whoever
+        reads the table next finishes a rewrite that was cut off.
+        """
         fs, _, jvm = self._fs()
         top = self.version()
         draft = f"{self.path}/_draft-{uuid.uuid4().hex}"
         kept.select(*self.full.names).write.parquet(draft)
-        for v in self.versions():
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/commit={v}"), True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(f"{self.path}/commit={top}"))
+        fs.rename(jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(f"{self.path}/rewrite={top}"))
+        self._replace(top)
 
     # -- transactions
 

@@ -8,6 +8,7 @@ that it can be pushed down to Parquet; a null there drops the row as false does.
 
 from __future__ import annotations
 
+import re
 import datetime as dt
 import decimal
 import math
@@ -299,7 +300,10 @@ def _leaf(op: str, f: dict, scope: Scope, top: bool) -> Column:
     if op in (*COMPARISONS, "field"):
         return compare("eq" if op == "field" else op, v, value(f["value"], scope))
     if op in ("like", "i_like", "ilike"):
-        return v.c.rlike(like_pattern(f["pattern"], op != "like")) if v.text else F.lit(False)
+        if not v.text:
+            return F.lit(False)
+        whole, start = v.c.rlike(like_pattern(f["pattern"], op != "like")), re.match("[^%_]*", f["pattern"]).group(0)
+        return v.c.startswith(start) & whole if start and op == "like" else whole  # a fixed start reaches the scan
     if op == "regex":
         java = scalars.regex(f["pattern"])
         return v.c.rlike(java) if v.text and java else F.lit(False)

@@ -303,6 +303,78 @@ function_query("fn_encode", "part", "p_partkey", {
 })
 
 
+def fn(name: str, *args) -> dict:
+    """A function call as a value."""
+    return {"$fn": {"name": name, "args": list(args)}}
+
+
+def key_text() -> dict:
+    return fn("cast/to_string", ref("p_partkey"))
+
+
+function_query("fn_strings_more", "part", "p_partkey", {
+    "strings/ltrim": ([fn("strings/concat", "  ", ref("p_name"))], "ltrim('  ' || p_name)"), "strings/rtrim": ([fn("strings/concat", ref("p_name"), "  ")], "rtrim(p_name || '  ')"),
+    "strings/reg_captures": ([ref("p_brand"), "([A-Z])[a-z]+#([1-3])"], "CASE WHEN regexp_matches(p_brand, '([A-Z])[a-z]+#([1-3])') THEN [regexp_extract(p_brand, '([A-Z])[a-z]+#([1-3])', 0), regexp_extract(p_brand, '([A-Z])[a-z]+#([1-3])', 1), regexp_extract(p_brand, '([A-Z])[a-z]+#([1-3])', 2)] END"),
+    "strings/reg_find_index": ([ref("p_name"), "[aeiou]"], "CASE WHEN regexp_matches(p_name, '[aeiou]') THEN length(regexp_extract(p_name, '^[^aeiou]*')) ELSE -1 END::BIGINT"),
+    "text/normalize_nfc": ([ref("p_name")], "nfc_normalize(p_name)"), "text/jaro_winkler": ([ref("p_name"), ref("p_name")], "1.0::DOUBLE"),
+})
+function_query("fn_cast_more", "part", "p_partkey", {
+    "math/between#to_float": ([fn("cast/to_float", fn("cast/to_string", ref("p_size"))), 10, 20], "p_size BETWEEN 10 AND 20"), "math/between#to_dec": ([fn("cast/to_dec", ref("p_size")), 5, 30], "p_size BETWEEN 5 AND 30"),
+    "math/between#parse_float": ([fn("cast/parse_float", fn("strings/reg_query", ref("p_brand"), "[0-9]+")), 1, 23], "regexp_extract(p_brand, '[0-9]+')::INT BETWEEN 1 AND 23"), "cast/try_cast": ([ref("p_size"), "string"], "p_size::VARCHAR"),
+})
+function_query("fn_encode_more", "part", "p_partkey", {
+    "encode/hex_enc#base64_dec": ([fn("encode/base64_dec", fn("encode/base64_enc", ref("p_name")))], "lower(hex(p_name))"), "encode/base64url_enc": ([ref("p_name")], "translate(base64(p_name::BLOB), '+/', '-_')"),
+    "encode/hex_enc#base64url_dec": ([fn("encode/base64url_dec", fn("encode/base64url_enc", ref("p_name")))], "lower(hex(p_name))"), "encode/hex_enc#hex_dec": ([fn("encode/hex_dec", fn("encode/hex_enc", ref("p_name")))], "lower(hex(p_name))"),
+    "encode/hex_enc#base32_dec": ([fn("encode/base32_dec", fn("encode/base32_enc", ref("p_name")))], "lower(hex(p_name))"), "encode/url_decode": ([fn("encode/url_encode", ref("p_brand"))], "p_brand"),
+    "encode/json_escape": ([fn("strings/concat", ref("p_name"), '"\n')], "p_name || '\\\"\\n'"), "encode/to_json": ([ref("p_brand")], "'\"' || p_brand || '\"'"), "encode/to_json#parse_json": ([fn("encode/parse_json", fn("strings/concat", '{"a": ', key_text(), "}"))], "'{\"a\":' || p_partkey || '}'"),
+    "crypto/ct_eq": ([fn("encode/hex_dec", fn("encode/hex_enc", ref("p_name"))), fn("encode/hex_dec", fn("encode/hex_enc", ref("p_brand")))], "p_name = p_brand"),
+    "strings/length#sha512": ([fn("encode/hex_enc", fn("crypto/sha512", fn("encode/hex_dec", fn("encode/hex_enc", ref("p_name")))))], "128::BIGINT"),
+})
+UUID_TAIL, LUHN_DIGIT = "-0000-4000-8000-00000000000", "substr(reverse(p_partkey::VARCHAR), i + 1, 1)::INT"
+function_query("fn_validate_more", "part", "p_partkey", {
+    "validate/is_email": ([fn("strings/concat", key_text(), "@", fn("strings/replace", fn("strings/substring", ref("p_type"), 0, 4), "A", ".aa"))], "regexp_matches(p_partkey || '@' || replace(substr(p_type, 1, 4), 'A', '.aa'), '^[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}$')"),
+    "validate/is_url": ([fn("strings/concat", fn("strings/replace", ref("p_type"), "STANDARD", "http://s"), "")], "regexp_matches(replace(p_type, 'STANDARD', 'http://s'), '^https?://[^\\s/$.?#][^\\s]*$')"),
+    "validate/is_uuid": ([fn("strings/concat", fn("strings/pad_left", key_text(), 8, "0"), UUID_TAIL, fn("strings/substring", ref("p_brand"), 6, 1))], f"regexp_matches(lpad(p_partkey::VARCHAR, 8, '0') || '{UUID_TAIL}' || substr(p_brand, 7, 1), '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$')"),
+    "validate/is_ipv4": ([fn("strings/concat", fn("cast/to_string", expr("mul", ref("p_size"), 10)), ".1.2.3")], "p_size * 10 <= 255"), "validate/is_ipv6": ([fn("strings/concat", "2001:db8::", fn("cast/to_string", expr("mul", ref("p_size"), 500)))], "p_size * 500 <= 9999"),
+    "validate/is_phone": ([fn("strings/concat", "+", fn("cast/to_string", expr("mul", ref("p_partkey"), 100000)))], "p_partkey >= 10"), "validate/is_json": ([fn("strings/concat", "[", fn("strings/replace", ref("p_brand"), "Brand#", ""), fn("strings/substring", "]]", 0, fn("math/mod", ref("p_partkey"), 3)))], "p_partkey % 3 = 1"),
+    "validate/luhn": ([key_text()], f"list_sum(list_transform(range(length(p_partkey::VARCHAR)), lambda i: CASE WHEN i % 2 = 0 THEN {LUHN_DIGIT} ELSE {LUHN_DIGIT} * 2 - 9 * ({LUHN_DIGIT} > 4)::INT END)) % 10 = 0"),
+})
+function_query("fn_datetime_more", "events", "event_id", {
+    "datetime/from_epoch_s": ([ref("event_id")], "event_id * 1000"), "datetime/from_epoch_ms": ([ref("event_id")], "event_id"),
+    "datetime/format_rfc3339": ([ref("ts")], "strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN (epoch_us(ts) // 1000) % 1000 = 0 THEN '' ELSE strftime(ts, '.%g') END || '+00:00'"),
+    "datetime/parse_rfc3339": ([fn("datetime/format_rfc3339", ref("ts"))], "(epoch_us(ts) // 1000)"), "datetime/parse": ([fn("datetime/format", ref("ts"), "%Y-%m-%d %H:%M:%S"), "%Y-%m-%d %H:%M:%S"], "(epoch_us(ts) // 1000000) * 1000"),
+    "math/between#now": ([fn("datetime/now"), 1_700_000_000_000, 9_000_000_000_000], "true"), "math/between#age": ([fn("datetime/age", ref("ts")), 0, 9_000_000_000], "true"), "strings/length#uuid": ([fn("gen/uuid_v4")], "36::BIGINT"),
+    "math/between#random": ([fn("gen/random"), 0, 1], "true"), "strings/length#bytes": ([fn("encode/hex_enc", fn("gen/random_bytes", 8))], "16::BIGINT"),
+})
+
+
+@query("fn_arrays_more", """
+    SELECT l_orderkey, l_linenumber, list_sum(a)::BIGINT AS s, list_min(a) AS lo, list_max(a) AS hi, list_avg(a) AS m, list_reverse_sort(a) AS d, flatten([a, a]) AS f
+    FROM (SELECT l_orderkey, l_linenumber, [l_linenumber, l_orderkey, l_partkey]::BIGINT[] AS a FROM lineitem)""")
+def _arrays_more(spark, d):
+    e = engine(spark, d)
+    a = F.array(F.col("l_linenumber").cast("bigint"), "l_orderkey", "l_partkey")
+    e.register("triples", e.table("lineitem").rows().select("l_orderkey", "l_linenumber", a.alias("a"), F.array(a, a).alias("aa")))
+    calls = [call(f"arrays/{f}", ref("a"), alias=k) for f, k in (("sum", "s"), ("min", "lo"), ("max", "hi"), ("avg", "m"), ("sort_desc", "d"))]
+    return e.read({"from": "triples", "select": {"items": ["l_orderkey", "l_linenumber", *calls, call("arrays/flatten", ref("aa"), alias="f")]}}).df
+
+
+@query("fn_objects", """
+    SELECT event_id, k AS g, ['k'] AS keys, [k] AS vals, 1::BIGINT AS entries, true AS has, false AS lacks, event_type AS path, false AS gone, ['k'] AS picked, 0::BIGINT AS omitted, k AS merged, 2::BIGINT AS width
+    FROM (SELECT event_id, event_type, regexp_extract(props, '([0-9]+)', 1)::BIGINT AS k FROM events)""")
+def _objects(spark, d):
+    e = engine(spark, d)
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
+    e.register("parsed", e.table("events").rows().select("event_id", F.create_map(F.lit("k"), k).alias("m"), F.struct(F.struct("event_type").alias("in"), k.alias("n")).alias("s"), F.create_map(F.lit("k"), k - 1, F.lit("z"), k).alias("older")), id_col="event_id")
+    m, s, both = ref("m"), ref("s"), fn("object/merge", ref("older"), ref("m"))
+    items = [
+        call("object/get_path", m, "k", alias="g"), call("object/keys", m, alias="keys"), call("object/values", m, alias="vals"), call("arrays/length", fn("object/entries", m), alias="entries"), call("object/has_key", m, "k", alias="has"),
+        call("object/has_key", m, "z", alias="lacks"), call("value_nav/get_path", s, "in.event_type", alias="path"), call("value_nav/exists", s, "in.absent", alias="gone"), call("value_nav/keys", fn("object/pick", m, ["k"]), alias="picked"),
+        call("value_nav/array_length", fn("object/keys", fn("object/omit", m, ["k"])), alias="omitted"), call("object/get_path", both, "k", alias="merged"), call("arrays/length", fn("object/keys", both), alias="width"),
+    ]
+    return e.read({"from": "parsed", "select": {"items": ["event_id", *items]}}).df
+
+
 @query("fn_crypto", "SELECT doc_id, sha256(text) AS h FROM documents")
 def _crypto(spark, d):
     e = engine(spark, d)

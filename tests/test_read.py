@@ -10,17 +10,17 @@ from millrace.plans.errors import QueryError
 from millrace.sources.catalog import Engine
 from pyspark.sql import functions as F
 
-ORDERS = [("o1", "alice", 100, "eu"), ("o2", "alice", 200, "eu"), ("o3", "bob", 50, "us"), ("o4", "bob", 75, "us"), ("o5", "carol", 500, "eu")]
-SCORES = [("a", 10), ("b", None), ("c", 30), ("d", 20), ("e", None)]
+TRIPS = [("t1", "ines", 12, "n"), ("t2", "omar", 340, "s"), ("t3", "ines", 8, "s"), ("t4", "ines", 31, "n"), ("t5", "yuki", 90, "n"), ("t6", "omar", 5, "s")]
+DEPTHS = [("a", None), ("b", 4), ("c", -1), ("d", None), ("e", 9)]
+GRADES = [("k1", 3), ("k2", 3), ("k3", 8), ("k4", 8), ("k5", 8), ("k6", 8), ("k7", 21)]
 
 
 @pytest.fixture
 def engine(spark):
     e = Engine(spark)
-    e.register("orders", spark.createDataFrame(ORDERS, "id string, user string, amount long, region string"), id_col="id")
-    e.register("scores", spark.createDataFrame(SCORES, "id string, score long"), id_col="id")
-    ties = [("lo", 10), *((f"t{i}", 50) for i in range(1, 6)), ("hi1", 60), ("hi2", 70)]
-    e.register("ties", spark.createDataFrame(ties, "id string, score long"), id_col="id")
+    e.register("trips", spark.createDataFrame(TRIPS, "id string, driver string, km long, zone string"), id_col="id")
+    e.register("depths", spark.createDataFrame(DEPTHS, "id string, metres long"), id_col="id")
+    e.register("grades", spark.createDataFrame(GRADES, "id string, grade long"), id_col="id")
     return e
 
 
@@ -37,13 +37,13 @@ def lib(name, field, *args, **more):
 
 
 def test_aggregates(engine):
-    assert rows(engine, **{"from": "orders", "select": [agg("sum", "amount", "s"), agg("avg", "amount", "a"), agg("count", "amount", "n"), {"type": "count_all"}]}) == [(925, 185.0, 5, 5)]
-    by = {"from": "orders", "group_by": {"fields": [["user"]]}, "select": ["user", agg("sum", "amount", "s")], "order_by": ["user"]}
-    assert rows(engine, **by) == [("alice", 300), ("bob", 125), ("carol", 500)]
-    by["group_by"] = {"fields": [["user"]], "having": {"op": "gt", "field": ["s"], "value": 150}}
-    assert rows(engine, **by) == [("alice", 300), ("carol", 500)]
-    none = {"op": "eq", "field": ["user"], "value": "nobody"}
-    got = rows(engine, **{"from": "orders", "where": none, "select": [agg("sum", "amount", "s"), agg("avg", "amount", "a"), lib("string_agg", "user"), lib("array_agg", "user"), lib("range", "amount"), lib("median", "amount")]})
+    assert rows(engine, **{"from": "trips", "select": [agg("sum", "km", "s"), agg("avg", "km", "a"), agg("count", "km", "n"), {"type": "count_all"}]}) == [(486, 81.0, 6, 6)]
+    by = {"from": "trips", "group_by": {"fields": [["driver"]]}, "select": ["driver", agg("sum", "km", "s")], "order_by": ["driver"]}
+    assert rows(engine, **by) == [("ines", 51), ("omar", 345), ("yuki", 90)]
+    by["group_by"] = {"fields": [["driver"]], "having": {"op": "gt", "field": ["s"], "value": 60}}
+    assert rows(engine, **by) == [("omar", 345), ("yuki", 90)]
+    none = {"op": "eq", "field": ["driver"], "value": "nobody"}
+    got = rows(engine, **{"from": "trips", "where": none, "select": [agg("sum", "km", "s"), agg("avg", "km", "a"), lib("string_agg", "driver"), lib("array_agg", "driver"), lib("range", "km"), lib("median", "km")]})
     assert got == [(0, None, "", [], 0, None)]
 
 
@@ -63,70 +63,70 @@ def test_library_aggregates(engine, spark):
 
 
 def test_order_and_nulls(engine):
-    base = {"from": "scores", "select": ["id"]}
-    order = lambda **k: "".join(r[0] for r in rows(engine, **base, order_by=[{"field": ["score"], **k}]) if True)
-    base["select"] = ["id", "score"]
-    assert order() == "adcbe"
-    assert order(direction="desc") == "becda"
-    assert order(nulls="first") == "beadc"
-    assert order(direction="desc", nulls="last") == "cdabe"
+    base = {"from": "depths", "select": ["id"]}
+    order = lambda **k: "".join(r[0] for r in rows(engine, **base, order_by=[{"field": ["metres"], **k}]))
+    base["select"] = ["id", "metres"]
+    assert order() == "cbead"
+    assert order(direction="desc") == "adebc"
+    assert order(nulls="first") == "adcbe"
+    assert order(direction="desc", nulls="last") == "ebcad"
 
 
 def test_pages(engine):
-    page = lambda **k: engine.read({"from": "ties", "select": ["id", "score"], "order_by": ["score"], "count_total": True, "pagination": k})
+    page = lambda **k: engine.read({"from": "grades", "select": ["id", "grade"], "order_by": ["grade"], "count_total": True, "pagination": k})
     first = page(mode="Page", page=2, page_size=3)
-    assert [r["id"] for r in first.df.collect()] == ["t3", "t4", "t5"]
-    assert first.pagination == {"total_count": 8, "total_pages": 3, "current_page": 2, "page_size": 3, "has_next": True, "has_prev": True}
-    assert [r["id"] for r in page(mode="After", key=[50], limit=5).df.collect()] == ["hi1", "hi2"]
-    assert [r["id"] for r in page(mode="After", key=[50], after_id="t2", limit=3).df.collect()] == ["t3", "t4", "t5"]
-    assert [r["id"] for r in page(mode="LimitOffset", limit=2, offset=6).df.collect()] == ["hi1", "hi2"]
-    unknown = engine.read({"from": "ties", "pagination": {"mode": "LimitOffset", "limit": 2}})
+    assert [r["id"] for r in first.df.collect()] == ["k4", "k5", "k6"]
+    assert first.pagination == {"total_count": 7, "total_pages": 3, "current_page": 2, "page_size": 3, "has_next": True, "has_prev": True}
+    assert [r["id"] for r in page(mode="After", key=[8], limit=5).df.collect()] == ["k7"]
+    assert [r["id"] for r in page(mode="After", key=[8], after_id="k4", limit=3).df.collect()] == ["k5", "k6", "k7"]
+    assert [r["id"] for r in page(mode="LimitOffset", limit=2, offset=5).df.collect()] == ["k6", "k7"]
+    unknown = engine.read({"from": "grades", "pagination": {"mode": "LimitOffset", "limit": 2}})
     assert unknown.pagination["has_next"] is False
     with pytest.raises(QueryError):
         page(mode="Page", page=0, page_size=3)
-    assert [len(c) for c in engine.cursor({"from": "ties"}, size=3)] == [3, 3, 2]
+    assert [len(c) for c in engine.cursor({"from": "grades"}, size=3)] == [3, 3, 1]
 
 
 def test_projection_rules(engine):
-    assert engine.read({"from": "orders", "select": [{"type": "all"}]}).df.columns == ["id", "user", "amount", "region"]
-    for bad in ([{"type": "all"}, "id"], ["id", "id"], [{"type": "field", "path": ["id"], "alias": "x"}, {"type": "field", "path": ["user"], "alias": "x"}]):
+    assert engine.read({"from": "trips", "select": [{"type": "all"}]}).df.columns == ["id", "driver", "km", "zone"]
+    for bad in ([{"type": "all"}, "id"], ["id", "id"], [{"type": "field", "path": ["id"], "alias": "x"}, {"type": "field", "path": ["driver"], "alias": "x"}]):
         with pytest.raises(QueryError):
-            engine.read({"from": "orders", "select": bad})
+            engine.read({"from": "trips", "select": bad})
     with pytest.raises(QueryError):
-        engine.read({"from": "orders", "select": ["user", {"type": "count_all"}]})
+        engine.read({"from": "trips", "select": ["driver", {"type": "count_all"}]})
     with pytest.raises(QueryError):
         engine.read({"from": "nowhere"})
-    half = {"type": "expr", "alias": "half", "expr": {"op": "div", "left": {"op": "field", "path": ["amount"]}, "right": {"op": "literal", "value": 0}}}
-    assert rows(engine, **{"from": "orders", "select": [half], "pagination": {"mode": "LimitOffset", "limit": 1}}) == [(None,)]
-    assert len(rows(engine, **{"from": "orders", "select": {"items": ["region"], "distinct": True}})) == 2
+    half = {"type": "expr", "alias": "half", "expr": {"op": "div", "left": {"op": "field", "path": ["km"]}, "right": {"op": "literal", "value": 0}}}
+    assert rows(engine, **{"from": "trips", "select": [half], "pagination": {"mode": "LimitOffset", "limit": 1}}) == [(None,)]
+    assert len(rows(engine, **{"from": "trips", "select": {"items": ["zone"], "distinct": True}})) == 2
 
 
 def test_vectors(spark, engine):
-    t = spark.createDataFrame([("origin", [0.0, 0.0]), ("near", [1.0, 0.0]), ("far", [5.0, 5.0]), ("none", None)], "id string, v array<float>")
+    t = spark.createDataFrame([("p", [3.0, 4.0]), ("q", [0.0, 2.0]), ("r", [-1.0, 0.0]), ("none", None)], "id string, v array<float>")
     engine.register("vectors", t, id_col="id")
-    search = lambda **k: [r["id"] for r in engine.read({"from": "vectors", "where": {"op": "vector_similarity", "field": ["v"], "query": [1.0, 0.0], **k}}).df.collect()]
-    assert search(k=2) == ["near", "origin"]
+    search = lambda **k: [r["id"] for r in engine.read({"from": "vectors", "where": {"op": "vector_similarity", "field": ["v"], "query": [0.0, 1.0], **k}}).df.collect()]
+    assert search(k=2) == ["q", "r"]
     assert search(k=0) == []
-    assert search(k=3, metric="dot") == ["far", "near", "origin"]
-    assert search(k=3, metric="cosine") == ["near", "far", "origin"]
+    assert search(k=3, metric="dot") == ["p", "q", "r"]
+    assert search(k=3, metric="cosine") == ["q", "p", "r"]
     with pytest.raises(QueryError):
         search(k=1, metric="nonsense")
-    only = {"op": "and", "filters": [{"op": "vector_similarity", "field": ["v"], "query": [1.0, 0.0], "k": 1}, {"op": "ne", "field": ["id"], "value": "near"}]}
-    assert [r["id"] for r in engine.read({"from": "vectors", "where": only}).df.collect()] == ["origin"]
+    only = {"op": "and", "filters": [{"op": "vector_similarity", "field": ["v"], "query": [0.0, 1.0], "k": 1}, {"op": "ne", "field": ["id"], "value": "q"}]}
+    assert [r["id"] for r in engine.read({"from": "vectors", "where": only}).df.collect()] == ["r"]
     assert vector.split({"op": "or", "filters": []})[0] is None
 
 
 def test_full_text(spark):
-    t = spark.createDataFrame([(1, "The quick brown fox"), (2, "Rust is quick, quick!"), (3, "Database indexing"), (4, None)], "id long, body string")
-    got = fts.ranked(t, "quick rust", "id", "body").collect()
+    t = spark.createDataFrame([(1, "Tall ships sail west"), (2, "Ships, ships and harbours!"), (3, "No harbour here"), (4, None)], "id long, body string")
+    got = fts.ranked(t, "ships harbours", "id", "body").collect()
     assert [r["id"] for r in got] == [2, 1]
     tokens = lambda kind, s, **k: spark.range(1).select(fts.tokens(F.lit(s), kind, **k).alias("t")).first()["t"]
-    assert tokens("unicode", "Ёлка, Rust-2!") == ["ёлка", "rust", "2"]
+    assert tokens("unicode", "Ёж, Tin-9!") == ["ёж", "tin", "9"]
     assert tokens("ngram", "abcd xy", n=3) == ["abc", "bcd", "xy"]
     assert tokens("ngram", "ab", n=0) == ["a", "b"]
-    assert tokens("full", "The fox is on it") == ["fox"]
+    assert tokens("full", "The owl is on it") == ["owl"]
     assert tokens("full", "и кот", language="russian") == ["кот"]
-    assert tokens("full", "The foxes were running happily", stems=True) == ["fox", "were", "run", "happili"]
+    assert tokens("full", "The owls were landing softly", stems=True) == ["owl", "were", "land", "soft"]
     with pytest.raises(QueryError):
         fts.tokens(F.lit("x"), "full", language="german", stems=True)
 
@@ -152,18 +152,18 @@ def test_explain(spec, want):
 
 
 def test_explain_and_shortcuts(engine):
-    out = engine.read({"from": "orders", "explain": True})
+    out = engine.read({"from": "trips", "explain": True})
     assert out.plan["plan_type"] == "FullScan" and out.df.count() == 0 and out.plan["physical"]
-    assert engine.count("orders").first()[0] == 5
-    assert tuple(engine.extremes("orders", "amount").first()) == (50, 500)
-    engine.create_index("orders", "u", "hash", ["user"])
-    assert engine.read({"from": "orders", "where": {"op": "eq", "field": ["user"], "value": "bob"}, "explain": True}).plan["index"] == "u"
-    assert engine.list_tables() == ["orders", "scores", "ties"]
+    assert engine.count("trips").first()[0] == 6
+    assert tuple(engine.extremes("trips", "km").first()) == (5, 340)
+    engine.create_index("trips", "u", "hash", ["driver"])
+    assert engine.read({"from": "trips", "where": {"op": "eq", "field": ["driver"], "value": "omar"}, "explain": True}).plan["index"] == "u"
+    assert engine.list_tables() == ["depths", "grades", "trips"]
     with pytest.raises(QueryError, match="not_pure"):
-        engine.create_index("orders", "r", "functional", ["amount"], scalar="gen/random")
+        engine.create_index("trips", "r", "functional", ["km"], scalar="gen/random")
     engine.register_aggregate("spread", lambda c: F.max(c) - F.min(c))
-    assert rows(engine, **{"from": "orders", "select": [lib("spread", "amount")]}) == [(450,)]
-    computed = lambda o, v, *a: [r[0] for r in rows(engine, **{"from": "orders", "select": ["id"], "where": {"op": "computed", "expr_op": o, "field": ["user"] if o != "mod" else ["amount"], "expr_args": list(a), "cmp": "eq", "value": v}})]
-    assert computed("substring", "li", 1, 2) == ["o1", "o2"] and computed("concat", "bob!", "!") == ["o3", "o4"] and computed("mod", 50, 100) == ["o3"] and computed("coalesce", "carol", "x") == ["o5"]
+    assert rows(engine, **{"from": "trips", "select": [lib("spread", "km")]}) == [(335,)]
+    computed = lambda o, v, *a: [r[0] for r in rows(engine, **{"from": "trips", "select": ["id"], "where": {"op": "computed", "expr_op": o, "field": ["driver"] if o != "mod" else ["km"], "expr_args": list(a), "cmp": "eq", "value": v}})]
+    assert computed("substring", "ne", 1, 2) == ["t1", "t3", "t4"] and computed("concat", "omar!", "!") == ["t2", "t6"] and computed("mod", 90, 100) == ["t5"] and computed("coalesce", "yuki", "x") == ["t5"]
     engine.register_scalar("user/twice", lambda c: c * 2, 1)
-    assert rows(engine, **{"from": "orders", "where": {"op": "eq", "field": ["id"], "value": "o3"}, "select": [{"type": "function", "name": "user/twice", "args": [{"$ref": ["amount"]}], "alias": "x"}]}) == [(100,)]
+    assert rows(engine, **{"from": "trips", "where": {"op": "eq", "field": ["id"], "value": "t3"}, "select": [{"type": "function", "name": "user/twice", "args": [{"$ref": ["km"]}], "alias": "x"}]}) == [(16,)]

@@ -67,6 +67,15 @@ def test_engine_time_travel(spark, table):
     assert table.changes_since(0)[1] == 2 and state(table.latest()) == [("1", "a", 50)]
 
 
+def test_rewrite_that_was_cut_off(spark, table, tmp_path, monkeypatch):
+    table.update(eq("_id", "1"), {"qty": 50}, now_ms=2000)
+    monkeypatch.setattr(VersionedTable, "_replace", lambda self, top: None)
+    table.rewrite(table.history().where("_version >= 2"))
+    monkeypatch.undo()
+    again = VersionedTable(spark, f"file://{tmp_path}/t", FIELDS)
+    assert again.versions() == [2] and state(again.latest()) == [("1", "a", 50)]
+
+
 def test_schema(spark, tmp_path):
     rules = [{"path": "name", "required": True, "min_len": 2, "format": "email"}, {"path": "qty", "unsigned": True, "default": 3, "max": 10}, {"path": "name", "unique": True}]
     t = VersionedTable(spark, f"file://{tmp_path}/s", FIELDS, rules)
@@ -111,61 +120,61 @@ def test_paths_and_plan():
 
 
 @pytest.fixture
-def shop(spark, tmp_path):
+def yard(spark, tmp_path):
     e = Engine(spark)
-    e.register("users", spark.createDataFrame([("u1", "Al", "a@x"), ("u2", "Bo", "b@x")], "id string, name string, email string"), id_col="id")
-    e.register("orders", spark.createDataFrame([("o1", "u1", 100), ("o2", "u1", 50), ("o3", "u2", 250), ("o4", "u2", 30)], "id string, user_id string, total long"), id_col="id")
+    e.register("depots", spark.createDataFrame([("N", "Kiruna"), ("S", "Malmo"), ("W", "Goteborg")], "id string, town string"), id_col="id")
+    e.register("pallets", spark.createDataFrame([("x9", "S", 410), ("x4", "N", 75), ("x7", "S", 12), ("x1", "W", 230), ("x3", "S", 88)], "id string, depot string, kg long"), id_col="id")
     e.register("audit", VersionedTable(spark, f"file://{tmp_path}/audit", FIELDS))
     return e
 
 
-def test_batch(shop):
-    out = shop.batch({"queries": {
-        "u": {"from": "users", "where": eq("name", "Al"), "order_by": ["id"]},
-        "o": {"from": "orders", "where": eq("user_id", {"$query": "@u", "path": "[0].id"}), "order_by": ["id"]},
-        "others": {"from": "orders", "where": {"op": "not_in", "field": ["user_id"], "values": [{"$query": "@u", "path": "[].id"}]}, "order_by": ["id"]},
-        "skip": {"from": "users", "when": {"op": "value_compare", "left": {"$query": "@o", "path": ".count"}, "cmp": "gt", "right": 5}},
-        "after_skip": {"from": "orders", "where": eq("user_id", {"$query": "@skip", "path": "[0].id"})},
-        "empty": {"from": "users", "where": eq("name", "Nobody")},
-        "all": {"from": "orders", "where": {"op": "not_in", "field": ["user_id"], "values": [{"$query": "@empty", "path": "[].id"}]}},
+def test_batch(yard):
+    out = yard.batch({"queries": {
+        "u": {"from": "depots", "where": eq("town", "Malmo"), "order_by": ["id"]},
+        "o": {"from": "pallets", "where": eq("depot", {"$query": "@u", "path": "[0].id"}), "order_by": ["id"]},
+        "others": {"from": "pallets", "where": {"op": "not_in", "field": ["depot"], "values": [{"$query": "@u", "path": "[].id"}]}, "order_by": ["id"]},
+        "skip": {"from": "depots", "when": {"op": "value_compare", "left": {"$query": "@o", "path": ".count"}, "cmp": "gt", "right": 5}},
+        "after_skip": {"from": "pallets", "where": eq("depot", {"$query": "@skip", "path": "[0].id"})},
+        "empty": {"from": "depots", "where": eq("town", "Nowhere")},
+        "all": {"from": "pallets", "where": {"op": "not_in", "field": ["depot"], "values": [{"$query": "@empty", "path": "[].id"}]}},
     }})
     r = out["results"]
-    assert [x["id"] for x in r["o"].df.collect()] == ["o1", "o2"] and [x["id"] for x in r["others"].df.collect()] == ["o3", "o4"]
-    assert r["skip"].skipped and r["after_skip"].skipped and r["all"].df.count() == 4
+    assert [x["id"] for x in r["o"].df.collect()] == ["x3", "x7", "x9"] and [x["id"] for x in r["others"].df.collect()] == ["x1", "x4"]
+    assert r["skip"].skipped and r["after_skip"].skipped and r["all"].df.count() == 5
     assert out["execution_plan"][0] == ["u", "empty"]
 
 
-def test_for_each_and_transactions(shop):
+def test_for_each_and_transactions(yard):
     body = {"queries": {"w": {"insert_into": "audit", "values": [{"name": {"$param": "row"}, "qty": 1}]}}}
-    shop.batch({"queries": {"o": {"from": "orders", "select": ["id"], "order_by": ["id"]}, "each": {"over": {"$query": "@o", "path": "[].id"}, "bind_row": "row", "for_each": body}}})
-    assert sorted(r["name"] for r in shop.table("audit").rows().collect()) == ["o1", "o2", "o3", "o4"]
-    before = shop.table("audit").source.version()
+    yard.batch({"queries": {"o": {"from": "pallets", "select": ["id"], "order_by": ["id"]}, "each": {"over": {"$query": "@o", "path": "[].id"}, "bind_row": "row", "for_each": body}}})
+    assert sorted(r["name"] for r in yard.table("audit").rows().collect()) == ["x1", "x3", "x4", "x7", "x9"]
+    before = yard.table("audit").source.version()
     bad = {"queries": {"a": {"insert_into": "audit", "values": [{"name": "x", "qty": 1}]}, "b": {"from": "nowhere", "after": ["a"]}}, "transactional": True}
     with pytest.raises(QueryError):
-        shop.batch(bad)
-    assert shop.table("audit").source.version() == before
+        yard.batch(bad)
+    assert yard.table("audit").source.version() == before
     good = {"queries": {"a": {"insert_into": "audit", "values": [{"_id": "n", "name": "x", "qty": 1}]}, "b": {"update": "audit", "where": eq("_id", "n"), "set": {"qty": 9}, "after": ["a"]}, "c": {"from": "audit", "where": eq("_id", "n"), "after": ["b"]}}, "transactional": True}
-    assert shop.batch(good)["results"]["c"].df.first()["qty"] == 9
-    assert shop.table("audit").source.version() == before + 1
-    shop.batch({"queries": {"d": {"delete_from": "audit", "where": eq("_id", "n")}, "s": {"set": "audit", "key": {"name": "k"}, "value": {"qty": 2}}}})
-    assert shop.table("audit").rows().where("_id = 'n'").isEmpty()
+    assert yard.batch(good)["results"]["c"].df.first()["qty"] == 9
+    assert yard.table("audit").source.version() == before + 1
+    yard.batch({"queries": {"d": {"delete_from": "audit", "where": eq("_id", "n")}, "s": {"set": "audit", "key": {"name": "k"}, "value": {"qty": 2}}}})
+    assert yard.table("audit").rows().where("_id = 'n'").isEmpty()
 
 
-def test_sub_batch_and_call(shop):
-    shop.register_procedure("sum_two", lambda engine, p: p["a"] + p["b"])
-    out = shop.batch({"queries": {
-        "s": {"batch": {"queries": {"u": {"from": "users", "where": eq("id", {"$param": "who"})}}}, "bind": {"who": "u2"}},
+def test_sub_batch_and_call(yard):
+    yard.register_procedure("sum_two", lambda engine, p: p["a"] + p["b"])
+    out = yard.batch({"queries": {
+        "s": {"batch": {"queries": {"u": {"from": "depots", "where": eq("id", {"$param": "who"})}}}, "bind": {"who": "W"}},
         "c": {"call": "sum_two", "params": {"a": 1, "b": {"$expr": {"op": "mul", "args": [2, 3]}}}},
     }})["results"]
-    assert out["s"].extra["value"]["u"].df.first()["name"] == "Bo" and out["c"].extra["value"] == 7
+    assert out["s"].extra["value"]["u"].df.first()["town"] == "Goteborg" and out["c"].extra["value"] == 7
 
 
 def test_subscription(spark, tmp_path):
-    value = T.StructType([T.StructField("thread", T.LongType()), T.StructField("body", T.StringType())])
+    value = T.StructType([T.StructField("room", T.LongType()), T.StructField("body", T.StringType())])
     schema = sub.change_schema(value)
-    rows = [("m", "put", "1", 1, (42, "x")), ("m", "put", "2", 2, (7, "noise")), ("m", "delete", "3", 3, None), ("other", "put", "4", 4, (42, "y")), ("m", "put", "5", 5, (42, "z"))]
+    rows = [("m", "put", "1", 1, (3, "in")), ("m", "put", "2", 2, (11, "out")), ("m", "delete", "3", 3, None), ("other", "put", "4", 4, (3, "up")), ("m", "put", "5", 5, (3, "down"))]
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/log")
-    spec = {"subscribe": [{"table": "m", "filter": eq("thread", 42), "events": "all"}], "initial": True}
+    spec = {"subscribe": [{"table": "m", "filter": eq("room", 3), "events": "all"}], "initial": True}
     got = []
     stream = sub.change_stream(spark, f"{tmp_path}/log", schema)
     initial = spark.createDataFrame(rows[:1], schema)
