@@ -633,8 +633,4 @@ scalar("crypto/blake3", 1)(lambda a: udfs.blake3(data(a)))
 scalar("crypto/hmac_sha256", 2)(lambda k, m: udfs.hmac_sha256(data(k), data(m)))
 scalar("crypto/ct_eq", 2)(lambda a, b: data(a) == data(b))
 scalar("crypto/canonical_hash", 1)(lambda a: udfs.canonical_hash(a.c))
-
-
-@scalar("crypto/argon2id", 2, 6)
-def _argon2id(*_):
-    raise QueryError("unsupported_function", "crypto/argon2id needs a library that is not installed")
+scalar("crypto/argon2id", 2, 6)(lambda password, salt, *more: udfs.argon2id(data(password), data(salt), *(whole(m).cast(LONG) for m in more)))

@@ -9,11 +9,14 @@ import ipaddress
 import os
 import struct
 import unicodedata
+from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import argon2
 from .blake3 import blake3_hash
 
 
@@ -185,8 +188,30 @@ def canonical_hash(column: Column) -> Column:
     """BLAKE3 of the canonical encoding, in lower-case hex; structs count as maps."""
 
     def plain(v):
-        if hasattr(v, "asDict"):
-            return {k: plain(x) for k, x in v.asDict().items()}
-        return [plain(x) for x in v] if isinstance(v, list) else {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
+        if isinstance(v, datetime):
+            return str(v.replace(tzinfo=None))
+        return {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else [plain(x) for x in v] if isinstance(v, list) else v
 
-    return F.udf(lambda r: blake3_hash(canonical_bytes(plain(r[0]))).hex(), "string")(F.struct(column))
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([blake3_hash(canonical_bytes(plain(v))).hex() for v in values.to_pylist(maps_as_pydicts="strict")], pa.string())
+
+    return F.arrow_udf(run, "string")(column)
+
+
+def argon2id(password: Column, salt: Column, *more: Column) -> Column:
+    """Argon2id of a batch's passwords, those of equal parameters side by side; null where an argument is out of range."""
+
+    def run(a: pd.Series, b: pd.Series, memory: pd.Series, time: pd.Series, lanes: pd.Series, length: pd.Series) -> pd.Series:
+        out: list[bytes | None] = [None] * len(a)
+        groups: dict[tuple, list[int]] = {}
+        for i, row in enumerate(zip(a, b, memory, time, lanes, length, strict=True)):
+            known = argon2.checked(*row)
+            if known is not None:
+                groups.setdefault(known, []).append(i)
+        for known, places in groups.items():
+            for i, tag in zip(places, argon2.argon2id([(bytes(a[i]), bytes(b[i])) for i in places], *known), strict=True):
+                out[i] = tag
+        return pd.Series(out, dtype=object)
+
+    rest = [*more, *[F.lit(None).cast("bigint")] * (4 - len(more))]
+    return F.pandas_udf(run, "binary")(password, salt, *rest)

@@ -4,10 +4,11 @@ import decimal
 import math
 
 import pytest
-from millrace.functions import udfs
+from millrace.functions import argon2, udfs
 from millrace.functions.blake3 import blake3_hash
 from millrace.functions.scalars import REGISTRY
 from millrace.plans.compiler import Scope, value
+from pyspark.sql import functions as F
 
 D = decimal.Decimal
 CASES = [
@@ -77,3 +78,23 @@ def test_registry_and_blake3():
     data = bytes(i % 251 for i in range(2049))
     assert blake3_hash(data).hex().startswith("5f4d72f40d7a5f82")
     assert blake3_hash(b"").hex() == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
+
+
+def test_argon2id(spark):
+    made = argon2.argon2id([(b"\x01" * 32, b"\x02" * 16)] * 2, 32, 3, 4, 32, b"\x03" * 8, b"\x04" * 12)
+    assert {t.hex() for t in made} == {"0d640df58d78766c08c037a34a8b53c9d01ef0452d75b65eb52520e96b01e659"}  # the vector of RFC 9106
+    scope = Scope(spark.range(1))
+    fn = lambda *a: spark.range(1).select(value({"$fn": {"name": "crypto/argon2id", "args": list(a)}}, scope).c.alias("x")).first()["x"]
+    assert bytes(fn(b"words", b"saltsalt", 64, 1, 2, 48)) == argon2.argon2id([(b"words", b"saltsalt")], 64, 1, 2, 48)[0]
+    assert fn(b"words", b"short", 64, 1, 2) is None and fn(b"words", b"saltsalt", 64, 0) is None and fn(b"words", b"saltsalt", 65_537) is None
+
+
+def test_canonical_hash_of_nested_values(spark):
+    rows = spark.createDataFrame([(1, [("x", 2.5)], {"k": True}, bytearray(b"z"))], "i long, l array<struct<n:string,d:double>>, m map<string,boolean>, b binary")
+    got = rows.select(udfs.canonical_hash(F.struct(*rows.columns))).first()[0]
+    assert got == blake3_hash(udfs.canonical_bytes({"b": b"z", "i": 1, "l": [{"d": 2.5, "n": "x"}], "m": {"k": True}})).hex()
+    whole = spark.createDataFrame([(2**60 + 1,), (None,)], "i long").select(udfs.canonical_hash(F.col("i"))).collect()
+    assert [r[0] for r in whole] == [blake3_hash(udfs.canonical_bytes(v)).hex() for v in (2**60 + 1, None)]
+    assert rows.select(udfs.canonical_hash(F.lit(7).cast("long"))).first()[0] == blake3_hash(udfs.canonical_bytes(7)).hex()
+    nothing = rows.select(udfs.canonical_hash(F.struct(F.lit(None).cast("long").alias("n")))).first()[0]
+    assert nothing == blake3_hash(udfs.canonical_bytes({"n": None})).hex()
