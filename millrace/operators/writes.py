@@ -8,8 +8,10 @@ of a number one fails and can try again.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +24,29 @@ from . import schema, temporal
 
 SYSTEM = T.StructType([T.StructField("_id", T.StringType()), T.StructField("_version", T.LongType()), T.StructField("_ts", T.LongType()), T.StructField("_deleted", T.BooleanType())])
 
+COMPUTED = "computed_value_failed"
+ISOLATION = ("snapshot", "serializable")
+
+
+def computed(v) -> bool:
+    """Whether a value to write is a function call."""
+    return isinstance(v, dict) and "$fn" in v
+
+
+def refs(v) -> list:
+    """The field paths that a value refers to."""
+    if isinstance(v, dict):
+        return [v["$ref"]] if "$ref" in v else [p for x in v.values() for p in refs(x)]
+    return [p for x in v for p in refs(x)] if isinstance(v, list) else []
+
+
+def failed(e: Exception) -> Exception:
+    """A failed computed value as an error of the query's, any other error as it is."""
+    text = str(e)
+    if COMPUTED not in text or isinstance(e, QueryError):
+        return e
+    return QueryError(COMPUTED, text.split(COMPUTED + ": ", 1)[-1].split("\n")[0])
+
 
 @dataclass
 class ForeignKey:
@@ -45,6 +70,8 @@ class VersionedTable:
     parents: list[ForeignKey] = field(default_factory=list)
     children: list[ForeignKey] = field(default_factory=list)
     pending: list[DataFrame] | None = None
+    base: int = 0
+    touched: bool = False
 
     @property
     def full(self) -> T.StructType:
@@ -80,7 +107,9 @@ class VersionedTable:
         return max(self.versions(), default=0)
 
     def history(self, upto: int | None = None, since: int = 0) -> DataFrame:
-        """All versioned rows of commits in (since, upto], and rows of the open transaction."""
+        """All versioned rows of commits in (since, upto], and rows of the open transaction, which sees no commit after its begin."""
+        if self.pending is not None:
+            self.touched, upto = True, self.base if upto is None else min(upto, self.base)
         paths = [f"{self.path}/commit={v}" for v in self.versions() if v > since and (upto is None or v <= upto)]
         rows = self.spark.read.schema(self.full).parquet(*paths) if paths else self.spark.createDataFrame([], self.full)
         for more in self.pending or []:
@@ -104,14 +133,18 @@ class VersionedTable:
 
     def _commit(self, rows: DataFrame, now_ms: int) -> int:
         if self.pending is not None:
-            staged = rows.withColumn("_version", F.lit(self.version() + 1 + len(self.pending)).cast("bigint")).withColumn("_ts", F.lit(now_ms).cast("bigint"))
+            staged = rows.withColumn("_version", F.lit(self.base + 1 + len(self.pending)).cast("bigint")).withColumn("_ts", F.lit(now_ms).cast("bigint"))
             self.pending.append(staged.select(*(F.col(f"`{n}`").cast(self.full[n].dataType).alias(n) for n in self.full.names)))
-            return self.version() + len(self.pending)
+            return self.base + len(self.pending)
         number = self.version() + 1
         out = rows.withColumn("_version", F.lit(number).cast("bigint")).withColumn("_ts", F.lit(now_ms).cast("bigint"))
         fs, _, jvm = self._fs()
         draft = f"{self.path}/_draft-{uuid.uuid4().hex}"
-        out.select(*(F.col(f"`{n}`").cast(self.full[n].dataType).alias(n) for n in self.full.names)).write.parquet(draft)
+        try:
+            out.select(*(F.col(f"`{n}`").cast(self.full[n].dataType).alias(n) for n in self.full.names)).write.parquet(draft)
+        except Exception as e:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(draft), True)
+            raise failed(e) from e
         target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commit={number}")
         if fs.exists(target) or not fs.rename(jvm.org.apache.hadoop.fs.Path(draft), target):
             fs.delete(jvm.org.apache.hadoop.fs.Path(draft), True)
@@ -122,15 +155,18 @@ class VersionedTable:
         """Own columns in order, absent ones null."""
         return df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.fields.fields), *(F.col(c) for c in ("_id", "_version") if c in df.columns))
 
-    def _checked(self, rows: DataFrame, whole: DataFrame) -> None:
+    def _checked(self, rows: DataFrame, whole: Callable[[], DataFrame]) -> None:
         """Raise unless ``rows`` keep the rules and, within ``whole``, unique fields and foreign keys."""
-        broken = schema.violations(rows, self.rules).limit(1).collect() if self.rules else []
+        try:
+            broken = schema.violations(rows, self.rules).limit(1).collect() if self.rules else []
+        except Exception as e:
+            raise failed(e) from e
         if broken:
             raise QueryError("schema_violation", f"{broken[0]['path']}: {broken[0]['code']}")
         for rule in self.rules:
             if rule.get("unique"):
                 path = rule["path"] if isinstance(rule["path"], str) else rule["path"][0]
-                if not schema.duplicates(whole, path).isEmpty():
+                if not schema.duplicates(whole(), path).isEmpty():
                     raise QueryError("unique_violation", path)
         for fk in self.parents:
             if not schema.orphans(rows, fk.path, fk.parent.latest(), fk.key).isEmpty():
@@ -142,7 +178,7 @@ class VersionedTable:
         new_id = F.regexp_replace(F.uuid(), "-", "")
         rows = rows.withColumn("_id", F.coalesce(F.col("_id").cast("string"), new_id) if "_id" in rows.columns else new_id)
         rows = self._shaped(schema.with_defaults(rows, self.rules, now_ms))
-        self._checked(rows, self.latest().drop("_version").unionByName(rows))
+        self._checked(rows, lambda: self.latest().drop("_version").unionByName(rows))
         number = self._commit(rows.withColumn("_deleted", F.lit(False)), now_ms)
         if self.pending is not None:
             return rows
@@ -153,8 +189,42 @@ class VersionedTable:
         unknown = [k for k in values if k not in self.fields.names]
         if unknown:
             raise QueryError("unknown_field", unknown[0])
-        made: dict[str, Column] = {k: value(v, scope).c.cast(self.fields[k].dataType) for k, v in values.items()}
-        return rows.withColumns(made)
+        return rows.withColumns({k: self._computed(k, v, scope) for k, v in values.items()})
+
+    def _computed(self, name: str, v, scope: Scope) -> Column:
+        """A value to write; a function whose result is null ends the write, but for those made to give null."""
+        made = value(v, scope).c.cast(self.fields[name].dataType)
+        if not computed(v):
+            return made
+        call = v["$fn"] if isinstance(v["$fn"], str) else v["$fn"]["name"]
+        if call.startswith("null/"):
+            return made
+        return F.coalesce(made, F.raise_error(F.lit(f"{COMPUTED}: {name}: {call}")).cast(self.fields[name].dataType))
+
+    def insert_records(self, records: list[dict], params: dict | None = None, lookup=None, now_ms: int | None = None) -> DataFrame:
+        """Insert records given as dictionaries; ``$fn`` fields are computed from the literal fields of their record."""
+        kinds: dict[str, list[dict]] = {}
+        for r in records:
+            kinds.setdefault(json.dumps({k: v for k, v in r.items() if computed(v)}, sort_keys=True, default=str), []).append(r)
+        names = (*self.fields.names, "_id")
+        shape, parts = T.StructType([*self.fields.fields, self.full["_id"]]), []
+        for like in kinds.values():
+            made = {k: v for k, v in like[0].items() if computed(v)}
+            unknown = [k for k in made if k not in self.fields.names]
+            if unknown:
+                raise QueryError("unknown_field", unknown[0])
+            plain = self.spark.createDataFrame([tuple(None if n in made else r.get(n) for n in names) for r in like], shape)
+            known = plain.drop(*made)
+            scope = Scope(known, params or {}, lookup)
+            for k, v in made.items():
+                for path in refs(v):
+                    if (path if isinstance(path, str) else path[0]) not in like[0]:
+                        raise QueryError(COMPUTED, f"{k}: {path}")
+            parts.append(known.withColumns({k: self._computed(k, v, scope) for k, v in made.items()}).select(*(F.col(f"`{n}`") for n in names)))
+        rows = parts[0] if parts else self.spark.createDataFrame([], shape)
+        for more in parts[1:]:
+            rows = rows.unionByName(more)
+        return self.insert(rows, now_ms)
 
     def update(self, condition: dict | None, values: dict, expected_version: int | None = None, params: dict | None = None, lookup=None, now_ms: int | None = None) -> dict[str, DataFrame]:
         """Write new versions of the matching rows; returns the rows ``changed`` and ``unchanged`` by it."""
@@ -171,7 +241,7 @@ class VersionedTable:
         for k in values:
             differs = differs | ~F.col(f"n.`{k}`").eqNullSafe(old[k])
         changed = both.where(differs).select("n.*")
-        self._checked(changed, current.join(changed.select("_id"), "_id", "left_anti").unionByName(changed))
+        self._checked(changed, lambda: current.join(changed.select("_id"), "_id", "left_anti").unionByName(changed))
         self._commit(self._shaped(changed).withColumn("_deleted", F.lit(False)), now_ms)
         same = both.where(~differs).select("n.*")
         return {"changed": changed, "unchanged": same, "all": new}
@@ -220,8 +290,19 @@ class VersionedTable:
     # -- transactions
 
     def begin(self) -> None:
-        """Writes from now on are seen by this table's reads and written together by ``commit``."""
-        self.pending = []
+        """Writes from now on are seen by this table's reads and written together by ``commit``; commits of others are not seen."""
+        self.pending, self.base, self.touched = [], self.version(), False
+
+    def validate(self, isolation: str = "snapshot") -> None:
+        """Raise for a serializable transaction that has read this table if others have committed to it since.
+
+        Tables are compared as a whole: a commit to rows that were not read is a conflict too.
+        Under ``snapshot`` the last writer wins.
+        """
+        if isolation not in ISOLATION:
+            raise QueryError("unknown_isolation", str(isolation))
+        if isolation == "serializable" and self.touched and self.version() > self.base:
+            raise QueryError("transaction_conflict", self.path)
 
     def commit(self, now_ms: int | None = None) -> int:
         staged, self.pending = self.pending or [], None

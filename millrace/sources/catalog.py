@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -31,11 +34,22 @@ class Table:
         return self.source.latest() if isinstance(self.source, VersionedTable) else self.source
 
 
+@dataclass
+class Cursor:
+    """An open cursor: what is left of its rows, its page size, and when it was last used."""
+
+    rows: Iterator[Row]
+    page_size: int
+    seen: float = field(default_factory=time.monotonic)
+
+
 class Engine:
     """Runs read queries (``read``) and batches (``batch``) given as nested dictionaries."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, limits: dict | None = None):
+        """``limits``: those of all batches that do not set their own."""
+        self.spark, self.limits = spark, dict(limits or {})
+        self.cursors: dict[str, Cursor] = {}
         self.tables: dict[tuple[str, str], Table] = {}
         self.procedures: dict[str, Callable] = {}
 
@@ -64,6 +78,24 @@ class Engine:
     def drop(self, ref: str | list) -> None:
         self.tables.pop(self._key(ref), None)
 
+    def rename(self, ref: str | list, name: str) -> None:
+        """Give a table another name in its repository."""
+        repo, old = self._key(ref)
+        table = self.table(ref)
+        if (repo, name) in self.tables:
+            raise QueryError("table_exists", name)
+        self.tables[repo, name] = table
+        del self.tables[repo, old]
+
+    def describe(self, ref: str | list) -> dict:
+        """A table's columns, id, indexes and, if it has history, its rules, references and newest version."""
+        table = self.table(ref)
+        out = {"name": self._key(ref)[1], "id": table.id_col, "indexes": dict(table.indexes)}
+        if isinstance(table.source, VersionedTable):
+            keys = [{"path": k.path, "key": k.key, "on_delete": k.on_delete} for k in table.source.parents]
+            return {**out, "columns": {f.name: f.dataType.simpleString() for f in table.source.fields.fields}, "rules": list(table.source.rules), "foreign_keys": keys, "version": table.source.version()}
+        return {**out, "columns": dict(table.source.dtypes)}
+
     def list_tables(self, repo: str = DEFAULT_REPO) -> list[str]:
         return sorted(n for r, n in self.tables if r == repo)
 
@@ -125,6 +157,40 @@ class Engine:
 
         return run_batch(self, request, params or {})
 
+    def open_cursor(self, spec: dict, page_size: int = 1000, idle_seconds: float = 300) -> tuple[str, list[Row], bool]:
+        """Start a cursor: its id, the first page, and whether more may follow. It closes itself when read to its end.
+
+        Rows come partition by partition, so that the driver holds a page and a partition.
+        Whoever comes next closes cursors left alone for ``idle_seconds``.
+        """
+        if (spec.get("temporal") or {}).get("kind", "latest") == "as_of":
+            raise QueryError("cursor_unsupported", "as_of")
+        for key in [k for k, c in self.cursors.items() if time.monotonic() - c.seen > idle_seconds]:
+            self.cancel(key)
+        key = uuid.uuid4().hex
+        self.cursors[key] = Cursor(iter(self.read(spec).df.toLocalIterator()), page_size)
+        return key, *self.fetch(key)
+
+    def fetch(self, cursor: str, page_size: int | None = None) -> tuple[list[Row], bool]:
+        """A cursor's next page, and whether more may follow."""
+        if cursor not in self.cursors:
+            raise QueryError("unknown_cursor", cursor)
+        state = self.cursors[cursor]
+        size = state.page_size if page_size is None else page_size
+        if size < 1:
+            raise QueryError("bad_page_size", str(size))
+        state.seen = time.monotonic()
+        page = list(itertools.islice(state.rows, size))
+        if len(page) < size:
+            self.cancel(cursor)
+        return page, cursor in self.cursors
+
+    def cancel(self, cursor: str) -> None:
+        """Close a cursor; closing one that is not open does nothing."""
+        state = self.cursors.pop(cursor, None)
+        if state is not None and hasattr(state.rows, "close"):
+            state.rows.close()
+
     def cursor(self, spec: dict, size: int = 1000) -> Iterator[list]:
         """A read's rows in lists of ``size``, fetched partition by partition."""
         held = []

@@ -73,6 +73,8 @@ def matching(changes: DataFrame, spec: dict) -> DataFrame:
     if spec.get("from_version") is not None:
         rows = rows.where(F.col("commit_version") >= spec["from_version"])
     mode = spec.get("deliver", "records")
+    if isinstance(mode, dict) and set(mode) in ({"batch"}, {"call"}):
+        mode = "records"
     if mode not in DELIVER:
         raise QueryError("unknown_deliver", str(mode))
     if mode == "keys":
@@ -102,6 +104,25 @@ def subscribe(changes: DataFrame, spec: dict, deliver: Callable[[DataFrame, int]
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def reacting(engine, spec: dict, answer: Callable[[dict, object], None]) -> Callable[[DataFrame, int], None]:
+    """A delivery that runs the subscription's batch or procedure once per change row, in version order.
+
+    ``{"deliver": {"batch": {"batch": .., "bind": ..}}}`` or ``{"call": {"call": .., "params": ..}}``. The row is bound
+    to ``$event.table``, ``.op``, ``.key`` and ``.commit_version``; ``answer`` gets these and what came out. Rows are
+    fetched a partition at a time: the calls run on the driver, one after another.
+    """
+    kind, entry = next(iter(spec["deliver"].items()))
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        for row in batch.select("table", "op", "key", "commit_version").toLocalIterator():
+            event = {f"$event.{k}": v for k, v in row.asDict().items()}
+            bound = {**entry, "bind": {**entry.get("bind", {}), **event}} if kind == "batch" else entry
+            done = engine.batch({"queries": {"_sub": bound}}, event)["results"]["_sub"]
+            answer(row.asDict(), done.extra["value"])
+
+    return deliver
+
+
 def unsubscribe(query: StreamingQuery) -> None:
     """Stop a subscription; stopping it again does nothing."""
     if query.isActive:

@@ -196,3 +196,97 @@ def test_windows(spark, tmp_path):
         q = df.writeStream.outputMode("complete" if name == "w" else "append").format("memory").queryName(f"out_{name}").trigger(availableNow=True).start()
         q.awaitTermination(60)
     assert sorted((r["user"], r["n"]) for r in spark.table("out_w").collect()) == [(1, 2), (2, 1)]
+
+
+def test_computed_values_fail_closed(yard):
+    table = yard.table("audit").source
+    fn = lambda name, *args: {"$fn": {"name": name, "args": list(args)}}
+    yard.batch({"queries": {"i": {"insert_into": "audit", "values": [{"_id": "k", "name": fn("strings/upper", "ok"), "qty": 4}, {"_id": "l", "name": "plain", "qty": fn("math/abs", {"$param": "p"})}]}}}, {"p": -6})
+    assert state(table.latest()) == [("k", "OK", 4), ("l", "plain", 6)]
+    before = table.version()
+    for bad in ({"name": fn("strings/repeat", "x", -1), "qty": 1}, {"name": fn("strings/upper", {"$ref": ["qty"]}), "qty": 1}, {"name": fn("strings/upper", {"$ref": ["name2"]})}, {"name": fn("strings/upper", {"$ref": ["name"]})}):
+        with pytest.raises(QueryError, match="computed_value_failed"):
+            yard.batch({"queries": {"i": {"insert_into": "audit", "values": [bad]}}})
+    with pytest.raises(QueryError, match="computed_value_failed: qty"):
+        table.update(eq("_id", "k"), {"qty": fn("math/mod", {"$ref": ["qty"]}, 0)})
+    assert table.version() == before and len(table.versions()) == before
+    table.update(eq("_id", "k"), {"name": fn("null/nullif", {"$ref": ["name"]}, "OK")})
+    assert state(table.latest())[0] == ("k", None, 4)
+
+
+def test_isolation(spark, yard, tmp_path):
+    table = yard.table("audit").source
+    yard.batch({"queries": {"i": {"insert_into": "audit", "values": [{"_id": "k", "name": "a", "qty": 1}]}}})
+    other = VersionedTable(spark, table.path, FIELDS)
+    seen = []
+
+    def intrude(engine, params):
+        other.update(eq("_id", "k"), {"qty": 50})
+        seen.append(state(engine.table("audit").rows()))
+
+    yard.register_procedure("intrude", intrude)
+    request = lambda level: {"transactional": True, "isolation": level, "queries": {"r": {"from": "audit"}, "c": {"call": "intrude", "after": ["r"]}, "u": {"update": "audit", "where": eq("_id", "k"), "set": {"name": level}, "after": ["c"]}}}
+    with pytest.raises(QueryError, match="transaction_conflict"):
+        yard.batch(request("serializable"))
+    assert seen[0] == [("k", "a", 1)] and state(table.latest()) == [("k", "a", 50)]
+    other.update(eq("_id", "k"), {"qty": 2})
+    yard.batch(request("snapshot"))
+    assert state(table.latest()) == [("k", "snapshot", 2)]  # the last writer wins
+    with pytest.raises(QueryError, match="unknown_isolation"):
+        yard.batch({"transactional": True, "isolation": "chaos", "queries": {}})
+
+
+def test_batch_limits(yard):
+    read = {"queries": {"p": {"from": "pallets"}}}
+    assert yard.batch({**read, "limits": {"max_result_size": 1000}})["results"]["p"].df.count() == 5
+    with pytest.raises(QueryError, match="result_too_large"):
+        yard.batch({**read, "limits": {"max_result_size": 100}})
+    yard.limits["max_execution_time_secs"] = -1
+    with pytest.raises(QueryError, match="timeout"):
+        yard.batch(read)
+
+
+def test_cursors(yard):
+    spec = {"from": "pallets", "order_by": ["id"]}
+    key, page, more = yard.open_cursor(spec, 2)
+    assert [r["id"] for r in page] == ["x1", "x3"] and more
+    page, more = yard.fetch(key, 1)
+    assert [r["id"] for r in page] == ["x4"] and more
+    page, more = yard.fetch(key, 9)
+    assert [r["id"] for r in page] == ["x7", "x9"] and not more
+    with pytest.raises(QueryError, match="unknown_cursor"):
+        yard.fetch(key)
+    key, _, _ = yard.open_cursor(spec, 1)
+    yard.cancel(key)
+    yard.cancel(key)
+    with pytest.raises(QueryError, match="unknown_cursor"):
+        yard.fetch(key)
+    idle, _, _ = yard.open_cursor(spec, 1)
+    yard.open_cursor(spec, 1, idle_seconds=0)
+    assert idle not in yard.cursors
+    with pytest.raises(QueryError, match="cursor_unsupported"):
+        yard.open_cursor({"from": "audit", "temporal": {"kind": "as_of", "at": {"version": 1}}})
+
+
+def test_rename_and_describe(yard):
+    yard.rename("depots", "sites")
+    assert "depots" not in yard.list_tables() and yard.describe("sites")["columns"] == {"id": "string", "town": "string"}
+    assert yard.describe("audit")["version"] == 0 and yard.describe("audit")["columns"]["qty"] == "bigint"
+    with pytest.raises(QueryError, match="table_exists"):
+        yard.rename("sites", "audit")
+
+
+def test_reactive_delivery(spark, yard, tmp_path):
+    value = T.StructType([T.StructField("kg", T.LongType())])
+    changes = spark.createDataFrame([("pallets", "put", "x7", 2, (12,)), ("pallets", "delete", "x9", 3, None), ("depots", "put", "N", 1, (0,))], sub.change_schema(value))
+    answers = []
+    spec = {"subscribe": [{"table": "pallets"}], "deliver": {"batch": {"batch": {"queries": {"p": {"from": "pallets", "where": eq("id", {"$param": "$event.key"})}}}}}}
+    sub.reacting(yard, spec, lambda event, out: answers.append((event["op"], out["p"].df.first()["kg"])))(sub.matching(changes, spec).orderBy("commit_version"), 0)
+    assert answers == [("put", 12), ("delete", 410)]
+    yard.register_procedure("tell", lambda engine, p: p["what"])
+    spec = {"subscribe": [{"table": "pallets", "events": "delete"}], "deliver": {"call": {"call": "tell", "params": {"what": {"$param": "$event.op"}}}}}
+    answers.clear()
+    sub.reacting(yard, spec, lambda event, out: answers.append((event["key"], out)))(sub.matching(changes, spec), 0)
+    assert answers == [("x9", "delete")]
+    with pytest.raises(QueryError, match="unknown_deliver"):
+        sub.matching(changes, {**spec, "deliver": {"mail": {}}})
