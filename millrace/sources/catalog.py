@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.scalars import Fn
-from ..operators import aggregates, read, temporal
+from ..operators import aggregates, read, temporal, vector
 from ..operators.read import Result
+from ..operators.vector_index import CELL, CODE, VectorIndex
 from ..operators.writes import VersionedTable
 from ..plans import explain
 from ..plans.errors import QueryError
@@ -72,6 +73,13 @@ class Engine:
             raise QueryError("not_pure", scalar)
         self.table(table).indexes[name] = {"kind": kind, "fields": fields, "include": include or []}
 
+    def create_vector_index(self, table: str | list, name: str, field: str, path: str, metric: str = "l2", cells: int | None = None) -> VectorIndex:
+        """Write an approximate index of a table's vectors as they are now; searches that name ``probes`` read it."""
+        known = self.table(table)
+        index = VectorIndex.build(known.rows(), path, field, known.id_col, metric, cells)
+        known.indexes[name] = {"kind": "vector", "fields": [field], "include": [], "index": index}
+        return index
+
     def drop_index(self, table: str | list, name: str) -> None:
         self.table(table).indexes.pop(name, None)
 
@@ -90,7 +98,7 @@ class Engine:
     def describe(self, ref: str | list) -> dict:
         """A table's columns, id, indexes and, if it has history, its rules, references and newest version."""
         table = self.table(ref)
-        out = {"name": self._key(ref)[1], "id": table.id_col, "indexes": dict(table.indexes)}
+        out = {"name": self._key(ref)[1], "id": table.id_col, "indexes": {n: {k: v for k, v in x.items() if k != "index"} for n, x in table.indexes.items()}}
         if isinstance(table.source, VersionedTable):
             keys = [{"path": k.path, "key": k.key, "on_delete": k.on_delete} for k in table.source.parents]
             return {**out, "columns": {f.name: f.dataType.simpleString() for f in table.source.fields.fields}, "rules": list(table.source.rules), "foreign_keys": keys, "version": table.source.version()}
@@ -131,7 +139,8 @@ class Engine:
         table, when = self.table(spec["from"]), spec.get("temporal") or {"kind": "latest"}
         kind = when.get("kind", "latest")
         if kind == "latest":
-            return table.rows(), spec
+            similar, _ = vector.split(spec.get("where"))
+            return (self._probed(table, similar) if similar and similar.get("probes") else table.rows()), spec
         if not isinstance(table.source, VersionedTable):
             raise QueryError("no_history", str(spec["from"]))
         if kind == "as_of":
@@ -141,6 +150,16 @@ class Engine:
             return rows, {**spec, "where": None}
         raise QueryError("unknown_temporal", kind)
 
+    @staticmethod
+    def _probed(table: Table, similar: dict) -> DataFrame:
+        """The rows of the cells that a search asks for."""
+        wanted, metric = similar["field"] if isinstance(similar["field"], list) else [similar["field"]], similar.get("metric", "l2")
+        for known in table.indexes.values():
+            index = known.get("index")
+            if index is not None and known["fields"] == wanted and index.metric == metric:
+                return index.near(similar["query"], int(similar["probes"])).drop(CELL, CODE)
+        raise QueryError("no_vector_index", ".".join(wanted))
+
     def read(self, spec: dict, params: dict | None = None, lookup=None) -> Result:
         """One read. With ``explain`` there are no rows, only the plan."""
         rows, left = self.source(spec, params, lookup)

@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from millrace.functions.stemming import stem
 from millrace.operators import fts, vector
+from millrace.operators.vector_index import VectorIndex
 from millrace.plans import explain
 from millrace.plans.errors import QueryError
 from millrace.sources.catalog import Engine
@@ -116,6 +118,41 @@ def test_vectors(spark, engine):
     assert vector.split({"op": "or", "filters": []})[0] is None
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_vector_index(spark, tmp_path, metric):
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(30, 12)) * 2
+    points = [(i, (middle[i % 30] + rng.normal(size=12)).tolist(), i % 3) for i in range(1500)] + [(1500, None, 0)]
+    t = spark.createDataFrame(points, "id long, v array<float>, kind long")
+    e = Engine(spark)
+    e.register("points", t, id_col="id")
+    index = e.create_vector_index("points", "cells", "v", f"file://{tmp_path}/x", metric)
+    assert index.near([0.0] * 12, len(index.centres)).count() == 1500 and VectorIndex.open(spark, index.path).metric == metric
+    found = total = 0
+    for i in range(0, 1500, 250):
+        search = {"op": "vector_similarity", "field": ["v"], "query": points[i][1], "k": 10, "metric": metric}
+        exact = [r["id"] for r in e.read({"from": "points", "where": search}).df.collect()]
+        found += len(set(exact) & {r["id"] for r in index.search(points[i][1], 10).collect()})
+        total += 10
+        assert [r["id"] for r in index.search(points[i][1], 10, probes=1500).collect()] == exact
+    assert found / total >= 0.9
+    only = {"op": "and", "filters": [{**search, "probes": 1500}, {"op": "eq", "field": ["kind"], "value": 1}]}
+    got = e.read({"from": "points", "where": only}).df
+    assert {r["kind"] for r in got.collect()} == {1} and got.columns[:3] == ["id", "v", "kind"]
+    assert "Filter (" not in index.near([0.0] * 12, 1)._jdf.queryExecution().executedPlan().toString()  # folders are chosen, rows are not tested
+    with pytest.raises(QueryError, match="no_vector_index"):
+        e.read({"from": "points", "where": {**search, "metric": "l2" if metric != "l2" else "dot", "probes": 2}})
+
+
+def test_vector_index_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([(1, None)], "id long, v array<double>")
+    assert VectorIndex.build(none, f"file://{tmp_path}/n", "v", "id").search([1.0], 3).count() == 0
+    same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(5)], "id long, v array<double>")
+    assert [r["id"] for r in VectorIndex.build(same, f"file://{tmp_path}/s", "v", "id").search([1.0, 0.0], 3, probes=9).collect()] == [0, 1, 2]
+    with pytest.raises(QueryError, match="several_dimensions"):
+        VectorIndex.build(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, v array<double>"), f"file://{tmp_path}/d", "v", "id")
+
+
 def test_full_text(spark):
     t = spark.createDataFrame([(1, "Tall ships sail west"), (2, "Ships, ships and harbours!"), (3, "No harbour here"), (4, None)], "id long, body string")
     got = fts.ranked(t, "ships harbours", "id", "body").collect()
