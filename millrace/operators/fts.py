@@ -1,19 +1,24 @@
-"""Full-text search: tokenizers, Boolean matching and BM25 ranking."""
+"""Full-text search: tokenizers, Boolean matching and BM25 ranking, by scan or by postings."""
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
 from functools import reduce
 from math import log
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import Val
 from ..functions.stemming import stem
 from ..plans.errors import QueryError
 
 K1, B = 1.2, 0.75
+#: Folders of a posting table, and writers of a folder: one word may be in every document.
+BUCKETS, SPREAD = 64, 8
 
 #: The words that the English and Russian pipelines leave out.
 STOPWORDS = {
@@ -76,9 +81,7 @@ def ranked(docs: DataFrame, query: str, id_col: str, text_col: str, limit: int |
     One pass counts documents, words and document frequencies (one row, fetched),
     one scores; only matching documents are sorted, and with ``limit`` by top-k.
     """
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession() or docs.sparkSession
+    spark = spark_of(docs)
     words = list(dict.fromkeys(spark.range(1).select(tokens(F.lit(query), kind).alias("t")).first()["t"]))
     # A generator between the words and what is counted: filters below it would split every text once more.
     split = F.array(tokens(F.coalesce(F.col(text_col), F.lit("")), kind))
@@ -90,7 +93,12 @@ def ranked(docs: DataFrame, query: str, id_col: str, text_col: str, limit: int |
 
     rows = rows.select("id", "n", *(times(w).alias(f"f{i}") for i, w in enumerate(words)))
     sums = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words"), *(F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(words))))
-    counted = sums.first()  # one row of sums
+    counted = sums.first().asDict()  # one row of sums
+    return _scored(rows, words, counted, id_col, limit)
+
+
+def _scored(rows: DataFrame, words: list[str], counted: dict, id_col: str, limit: int | None) -> DataFrame:
+    """(id, score) of rows (id, n, f0, f1, ..), given the sums over all documents."""
     hit = reduce(lambda a, b: a | b, (F.col(f"f{i}") > 0 for i in range(len(words))), F.lit(False))
     average = (counted["words"] or 0) / max(counted["docs"], 1) or 1.0
 
@@ -108,3 +116,68 @@ def inverted_index(docs: DataFrame, id_col: str, text_col: str, kind: str = "uni
     """(token, id, tf): one row per token of a document, to be written once and probed often."""
     exploded = docs.select(F.col(id_col), F.explode(tokens(F.col(text_col), kind, language=language)).alias("token"))
     return exploded.groupBy("token", id_col).agg(F.count(F.lit(1)).alias("tf"))
+
+
+@dataclass
+class PostingIndex:
+    """Postings (token, id, tf, n) written once; a search reads the folders and row groups of its words.
+
+    ``n`` is the document's number of tokens. Ids must be unique and not null. Documents written
+    later are not in it. Words are those of the tokenizer ``kind``: Boolean search over texts
+    uses ``whitespace``, ranking ``unicode``.
+    """
+
+    spark: SparkSession
+    path: str
+    kind: str
+    id_col: str
+    docs: int
+    words: int
+    schema: T.StructType
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, id_col: str, text_col: str, kind: str = "unicode") -> PostingIndex:
+        """Index the texts of all documents (null: no words)."""
+        split = tokens(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), kind)
+        parted = docs.select(F.col(f"`{id_col}`").alias("id"), F.inline(F.array(F.struct(split.alias("own")))))
+        words = parted.select("id", F.size("own").alias("n"), F.explode("own").alias("token"))
+        rows = words.groupBy("token", "id", "n").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int"))
+        salt = F.pmod(F.xxhash64("id"), F.lit(SPREAD))
+        rows.repartition("bucket", salt).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
+        known = spark_of(docs).read.schema(rows.schema).parquet(f"{path}/postings")
+        # Every posting of a document carries its length, and its counts add up to it.
+        meta = {"kind": kind, "id_col": id_col, "docs": docs.count(), "words": known.agg(F.sum("tf").alias("w")).first()["w"] or 0, "schema": rows.schema.json()}
+        spark_of(docs).createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/meta")
+        return cls.open(spark_of(docs), path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> PostingIndex:
+        meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+        return cls(spark, path, meta["kind"], meta["id_col"], meta["docs"], meta["words"], T.StructType.fromJson(json.loads(meta["schema"])))
+
+    def postings(self, words: list[str]) -> DataFrame:
+        """The postings of some words."""
+        asked = self.spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b"))
+        buckets = sorted({r["b"] for r in asked.collect()})  # a number a word
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/postings").where(F.col("bucket").isin(buckets) & F.col("token").isin(words))
+
+    def matches(self, query: str, mode: str = "and") -> DataFrame:
+        """The ids of documents with all (``and``) or any (``or``) of a query's words; none for no words."""
+        words = list(dict.fromkeys(query.lower().split()))
+        found = self.postings(words).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+        return found.where(F.col("k") >= (len(words) if mode == "and" else 1)).select(F.col("id").alias(self.id_col))
+
+    def ranked(self, query: str, limit: int | None = None) -> DataFrame:
+        """(id, score) as the function ``ranked`` gives them."""
+        words = list(dict.fromkeys(self.spark.range(1).select(tokens(F.lit(query), self.kind).alias("t")).first()["t"]))
+        rows = self.postings(words)
+        seen = {r["token"]: r["d"] for r in rows.groupBy("token").agg(F.count(F.lit(1)).alias("d")).collect()}  # a row a word
+        counted = {"docs": self.docs, "words": self.words, **{f"d{i}": seen.get(w, 0) for i, w in enumerate(words)}}
+        if not words:
+            return _scored(rows.select("id", "n"), words, counted, self.id_col, limit)
+        per = rows.groupBy("id").agg(F.max("n").alias("n"), *(F.sum(F.when(F.col("token") == w, F.col("tf")).otherwise(0)).alias(f"f{i}") for i, w in enumerate(words)))
+        return _scored(per, words, counted, self.id_col, limit)
+
+
+def spark_of(df: DataFrame) -> SparkSession:
+    return SparkSession.getActiveSession() or df.sparkSession

@@ -86,10 +86,12 @@ class VectorIndex:
         ends = rows.select(F.posexplode(v).alias("i", "x")).groupBy("i").agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("i").collect()  # a row a dimension
         low = np.array([r["low"] for r in ends], dtype=float)
         step = np.array([(r["high"] - r["low"]) / LEVELS or 1.0 for r in ends], dtype=float)
-        sample = rows.select(v.alias("v")).sample(min(1.0, 2 * fit_rows / max(seen["n"], 1)), seed=7).limit(fit_rows).collect()
+        # Of more rows than that, nine tenths on average, so that the limit cuts off no part of the table.
+        share = 1.0 if seen["n"] <= fit_rows else 0.9 * fit_rows / seen["n"]
+        sample = rows.select(v.alias("v")).sample(share, seed=7).limit(fit_rows).collect()
         if not sample and seen["n"]:
             sample = rows.select(v.alias("v")).limit(fit_rows).collect()
-        known = np.array([r["v"] for r in sample], dtype=float).reshape(-1, dim)
+        known = np.array([r["v"] for r in sample], dtype=float).reshape(len(sample), dim)
         unit = metric == "cosine"
         count = min(MAX_CELLS, cells or max(1, int(seen["n"] ** 0.5)))
         centres = fitted(_unit(known) if unit else known, count) if len(known) else np.zeros((0, dim))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from .operators import fts, schema, temporal, vector
 from .operators.writes import ForeignKey, VersionedTable
 from .plans.compiler import Scope, value
+from .plans.errors import QueryError
 from .sources.catalog import Engine
 from .sources.folders import new_path
 
@@ -411,6 +412,17 @@ def _bm25(spark, d):
     return fts.ranked(docs, "the ening", "doc_id", "text").withColumn("score", F.round("score", 9))
 
 
+@query("fts_index_and", ORACLE["fts_and"])
+def _fts_index(spark, d):
+    return fts.PostingIndex.build(engine(spark, d).table("documents").rows(), new_path(spark, "postings"), "doc_id", "text", "whitespace").matches("The AND of")
+
+
+@query("bm25_index", ORACLE["bm25"])
+def _bm25_index(spark, d):
+    index = fts.PostingIndex.build(engine(spark, d).table("documents").rows(), new_path(spark, "postings"), "doc_id", "text")
+    return index.ranked("the ening").select("doc_id", F.round("score", 9).alias("score"))
+
+
 @query("inverted_index", "SELECT token, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents) GROUP BY 1, 2")
 def _inverted(spark, d):
     return fts.inverted_index(engine(spark, d).table("documents").rows(), "doc_id", "text")
@@ -532,9 +544,12 @@ def _subscription(spark, d):
 PART_SQL = "SELECT p_partkey::VARCHAR AS _id, p_name, p_size FROM part"
 
 
+PART_FIELDS = T.StructType([T.StructField("p_name", T.StringType()), T.StructField("p_size", T.IntegerType())])
+
+
 def _parts(spark: SparkSession, d: str) -> VersionedTable:
     rows = engine(spark, d).table("part").rows().select(F.col("p_partkey").cast("string").alias("_id"), "p_name", "p_size")
-    table = VersionedTable(spark, new_path(spark, "parts"), T.StructType([T.StructField("p_name", T.StringType()), T.StructField("p_size", T.IntegerType())]))
+    table = VersionedTable(spark, new_path(spark, "parts"), PART_FIELDS)
     table.insert(rows, now_ms=1000)
     return table
 
@@ -594,6 +609,33 @@ def _transaction(spark, d):
     return done["results"]["r"].df.drop("_version")
 
 
+@query("write_computed", "SELECT * FROM (VALUES ('a', 'ROAD', 8), ('b', 'plain', 5)) AS t(_id, p_name, p_size)")
+def _computed_writes(spark, d):
+    e, call = Engine(spark), lambda name, *args: {"$fn": {"name": name, "args": list(args)}}
+    e.register("parts", VersionedTable(spark, new_path(spark, "computed"), PART_FIELDS))
+    e.batch({"queries": {"i": {"insert_into": "parts", "values": [{"_id": "a", "p_name": call("strings/upper", "road"), "p_size": 8}, {"_id": "b", "p_name": "plain", "p_size": call("strings/length", {"$ref": ["p_name"]})}]}}})
+    try:
+        e.batch({"queries": {"i": {"insert_into": "parts", "values": [{"_id": "c", "p_name": call("strings/repeat", "x", -1), "p_size": 1}]}}})
+    except QueryError as error:
+        if error.code != "computed_value_failed":
+            raise
+    return e.read({"from": "parts"}).df.drop("_version")
+
+
+@query("transaction_conflict", "SELECT p_partkey::VARCHAR AS _id, p_name, CASE WHEN p_size = 3 THEN 99 ELSE p_size END AS p_size FROM part")
+def _conflict(spark, d):
+    """A serializable batch whose table is written by another between its read and its end leaves nothing."""
+    e, table = Engine(spark), _parts(spark, d)
+    e.register("parts", table)
+    e.register_procedure("other", lambda engine, params: VersionedTable(spark, table.path, table.fields).update(eq("p_size", 3), {"p_size": 99}) and None)
+    try:
+        e.batch({"transactional": True, "isolation": "serializable", "queries": {"r": {"from": "parts"}, "o": {"call": "other", "after": ["r"]}, "w": {"update": "parts", "where": eq("p_size", 4), "set": {"p_size": 0}, "after": ["o"]}}})
+    except QueryError as error:
+        if error.code != "transaction_conflict":
+            raise
+    return table.latest().drop("_version")
+
+
 @query("for_each_writes", "SELECT n_name AS name, 1::BIGINT AS qty FROM nation WHERE n_regionkey = 2")
 def _each(spark, d):
     e = engine(spark, d)

@@ -168,6 +168,20 @@ def test_full_text(spark):
         fts.tokens(F.lit("x"), "full", language="german", stems=True)
 
 
+def test_posting_index(spark, tmp_path):
+    t = spark.createDataFrame([(1, "Tall ships sail west"), (2, "Ships, ships and harbours!"), (3, "No harbour here"), (4, None), (5, "west ships")], "id long, body string")
+    ranks = fts.PostingIndex.build(t, f"file://{tmp_path}/r", "id", "body")
+    for q in ("ships harbours", "west", "absent", ""):
+        assert ranks.ranked(q).collect() == fts.ranked(t, q, "id", "body").collect()
+    assert ranks.ranked("ships", limit=1).collect() == fts.ranked(t, "ships", "id", "body", 1).collect()
+    words = fts.PostingIndex.build(t, f"file://{tmp_path}/w", "id", "body", "whitespace")
+    ids = lambda *a: sorted(r["id"] for r in words.matches(*a).collect())
+    assert ids("West SHIPS") == [1, 5] and ids("west and", "or") == [1, 2, 5] and ids("") == [] and ids("", "or") == []
+    assert "PushedFilters: [IsNotNull(token)" in words.matches("west")._jdf.queryExecution().executedPlan().toString()
+    nothing = fts.PostingIndex.build(t.limit(0), f"file://{tmp_path}/n", "id", "body")
+    assert nothing.docs == 0 and nothing.ranked("west").count() == 0
+
+
 @pytest.mark.parametrize(("word", "want"), [
     ("consigned", "consign"), ("consolingly", "consol"), ("conspicuously", "conspicu"), ("knackeries", "knackeri"), ("knightly", "knight"), ("generously", "generous"), ("hoping", "hope"), ("hopping", "hop"), ("flies", "fli"), ("dies", "die"),
     ("nationality", "nation"), ("relational", "relat"), ("conditional", "condit"), ("ties", "tie"), ("gas", "gas"), ("sky", "sky"), ("say", "say"), ("agreed", "agre"), ("controlling", "control"), ("communication", "communic"), ("a", "a"),
