@@ -683,6 +683,239 @@ def _stream_subscription(spark, d):
     return _streamed(spark, d, build, "append").select("key", "commit_version")
 
 
+# -- what a read tells beside its rows
+
+
+@query("with_version", "SELECT p_name, CASE WHEN p_size > 40 THEN 2 ELSE 1 END::BIGINT AS _version FROM part")
+def _with_version(spark, d):
+    e, table = Engine(spark), _parts(spark, d)
+    e.register("parts", table)
+    table.update(op("gt", "p_size", 40), {"p_size": 0}, now_ms=2000)
+    return e.read({"from": "parts", "select": fields("p_name"), "with_version": True}).df
+
+
+PAGE_SIZE = 30
+
+
+@query("pagination_info", f"""
+    WITH t AS (SELECT count(*) AS total, (count(*) + {PAGE_SIZE - 1}) // {PAGE_SIZE} AS pages FROM part WHERE p_size > 10)
+    SELECT 'page' AS mode, total AS total_count, pages AS total_pages, 2::BIGINT AS current_page, {PAGE_SIZE}::BIGINT AS page_size, 2 < pages AS has_next, true AS has_prev FROM t
+    UNION ALL SELECT 'offset', total, pages, 1, {PAGE_SIZE}, {PAGE_SIZE} < total, false FROM t
+    UNION ALL SELECT 'uncounted', NULL, NULL, 3, {PAGE_SIZE}, false, true""")
+def _pagination(spark, d):
+    e = engine(spark, d)
+    pages = {"page": ({"mode": "Page", "page": 2, "page_size": PAGE_SIZE}, True), "offset": ({"mode": "LimitOffset", "limit": PAGE_SIZE}, True), "uncounted": ({"mode": "LimitOffset", "limit": PAGE_SIZE, "offset": 2 * PAGE_SIZE}, False)}
+    told = [(name, e.read({"from": "part", "where": op("gt", "p_size", 10), "order_by": ["p_size"], "pagination": page, "count_total": counted}).pagination) for name, (page, counted) in pages.items()]
+    kinds = "mode string, total_count long, total_pages long, current_page long, page_size long, has_next boolean, has_prev boolean"
+    return spark.createDataFrame([(name, *(info[c.split()[0]] for c in kinds.split(", ")[1:])) for name, info in told], kinds)
+
+
+@query("explain_plans", """
+    SELECT * FROM (VALUES ('all', 'FullScan', NULL), ('counted', 'CounterShortcut', NULL), ('least', 'MinMaxIndex', 'by_date'), ('status', 'IndexScan', 'by_status'), ('late', 'SortedIndexScan', 'by_date'),
+    ('late_big', 'AndRangeIndexScan', 'by_date'), ('first', 'OrderLimitFast', 'by_date'), ('next', 'KeysetSeek', 'by_date'), ('unindexed', 'FullScan', NULL)) AS t(shape, plan_type, "index")""")
+def _explained(spark, d):
+    e = engine(spark, d)
+    e.create_index("orders", "by_date", "sorted", ["o_orderdate"])
+    e.create_index("orders", "by_status", "hash", ["o_orderstatus"])
+    late = op("gt", "o_orderdate", "1996-01-01")
+    shapes = {
+        "all": {}, "counted": {"select": [{"type": "count_all"}]}, "least": {"select": [{"type": "aggregate", "func": "min", "field": ["o_orderdate"]}]}, "status": {"where": eq("o_orderstatus", "F")}, "late": {"where": late},
+        "late_big": {"where": every(late, op("ne", "o_totalprice", 1))}, "first": {"order_by": ["o_orderdate"], "pagination": {"mode": "LimitOffset", "limit": 5}},
+        "next": {"order_by": ["o_orderdate"], "pagination": {"mode": "After", "key": ["1996-01-01"], "limit": 5}}, "unindexed": {"where": op("lt", "o_totalprice", 5)},
+    }
+    plans = {name: e.read({"from": "orders", **spec, "explain": True}).plan for name, spec in shapes.items()}
+    return spark.createDataFrame([(name, p["plan_type"], p["index"]) for name, p in plans.items()], "shape string, plan_type string, index string")
+
+
+@query("cursor_pages", "SELECT i + 1 AS page, least(40, n - 40 * i) AS n_rows, i + 1 < (n + 39) // 40 AS more FROM (SELECT count(*) AS n FROM part WHERE p_size < 25) t, range(0, 1000) r(i) WHERE 40 * i < n")
+def _cursor(spark, d):
+    """The pages of a cursor; the last one may only be known as such when it is short."""
+    e = engine(spark, d)
+    key, page, _ = e.open_cursor({"from": "part", "where": op("lt", "p_size", 25), "select": fields("p_partkey")}, page_size=40)
+    sizes = []
+    while page:
+        sizes.append(len(page))
+        page = e.fetch(key)[0] if key in e.cursors else []
+    return spark.createDataFrame([(i + 1, n, i + 1 < len(sizes)) for i, n in enumerate(sizes)], "page long, n_rows long, more boolean")
+
+
+@query("described", """
+    SELECT * FROM (VALUES ('n_name', 'string'), ('n_nationkey', 'int'), ('n_regionkey', 'int')) AS t("column", kind)""")
+def _described(spark, d):
+    e = engine(spark, d)
+    e.register("lands", e.table("nation").rows(), id_col="n_nationkey")
+    e.rename("lands", "states")
+    return spark.createDataFrame(sorted(e.describe("states")["columns"].items()), "column string, kind string")
+
+
+def _code(run: Callable) -> str | None:
+    try:
+        run()
+    except QueryError as error:
+        return error.code
+    return None
+
+
+@query("query_errors", """
+    SELECT * FROM (VALUES ('two columns of one name', 'duplicate_name'), ('HAVING without GROUP BY', 'having_without_group'), ('no such table', 'unknown_table'), ('column outside the groups', 'not_grouped'),
+    ('queries in a circle', 'cycle'), ('reference to no query', 'unknown_query'), ('too many queries', 'too_many_queries'), ('history of a plain table', 'no_history'), ('pages start at one', 'bad_page'),
+    ('result over its limit', 'result_too_large'), ('no such procedure', 'unknown_function'), ('closed cursor', 'unknown_cursor'), ('impure index', 'not_pure')) AS t(what, code)""")
+def _errors(spark, d):
+    e = engine(spark, d)
+    scan, batch = {"from": "nation"}, lambda queries, **more: lambda: e.batch({"queries": queries, **more})
+    runs = {
+        "two columns of one name": lambda: e.read({**scan, "select": fields("n_name", "n_name")}), "HAVING without GROUP BY": lambda: e.read({**scan, "group_by": {"fields": [], "having": op("gt", "n", 1)}}),
+        "no such table": lambda: Engine(spark).read({"from": "nowhere"}),
+        "column outside the groups": lambda: e.read({**scan, "group_by": {"fields": [["n_regionkey"]]}, "select": fields("n_name")}),
+        "queries in a circle": batch({"a": {**scan, "after": ["b"]}, "b": {**scan, "after": ["a"]}}), "reference to no query": batch({"a": {**scan, "after": ["z"]}}), "too many queries": batch({"a": scan, "b": scan}, limits={"max_queries": 1}),
+        "history of a plain table": lambda: e.read({**scan, "temporal": {"kind": "as_of", "at": {"version": 1}}}), "pages start at one": lambda: e.read({**scan, "pagination": {"mode": "Page", "page": 0, "page_size": 5}}),
+        "result over its limit": batch({"a": scan}, limits={"max_result_size": 100}), "no such procedure": batch({"a": {"call": "nothing"}}), "closed cursor": lambda: e.fetch("gone"),
+        "impure index": lambda: e.create_index("nation", "i", "functional", ["n_name"], scalar="gen/random"),
+    }
+    return spark.createDataFrame([(what, _code(run)) for what, run in runs.items()], "what string, code string")
+
+
+# -- batches within batches, guards, procedures, user functions
+
+
+@query("guard_skipped", "SELECT * FROM (VALUES ('counted', false), ('kept', false), ('left_out', true), ('fed_by_it', true)) AS t(entry, skipped)")
+def _guards(spark, d):
+    big = lambda n: {"op": "value_compare", "left": {"$query": "@counted", "path": ".count"}, "cmp": "gt", "right": n}
+    nations = {"from": "nation", "select": fields("n_regionkey")}
+    done = engine(spark, d).batch({"queries": {
+        "counted": nations, "kept": {**nations, "when": big(5)}, "left_out": {**nations, "when": big(500)},
+        "fed_by_it": {"from": "region", "where": {"op": "in", "field": ["r_regionkey"], "values": {"$query": "@left_out", "path": "[].n_regionkey"}}},
+    }})
+    return spark.createDataFrame([(name, r.skipped) for name, r in done["results"].items()], "entry string, skipped boolean")
+
+
+@query("sub_batch", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 3")
+def _sub_batch(spark, d):
+    inner = {"queries": {"own": {"from": "nation", "where": eq("n_regionkey", {"$param": "region"}), "select": fields("n_nationkey", "n_name")}}}
+    done = engine(spark, d).batch({"queries": {"pick": {"from": "region", "where": eq("r_regionkey", 3)}, "sub": {"batch": inner, "bind": {"region": {"$query": "@pick", "path": "[0].r_regionkey"}}}}})
+    return done["results"]["sub"].extra["value"]["own"].df
+
+
+@query("procedure_call", "SELECT n_regionkey, count(*) AS n FROM nation WHERE n_regionkey >= 2 GROUP BY 1")
+def _procedure(spark, d):
+    e = engine(spark, d)
+    e.register_procedure("sizes", lambda own, params: own.read({"from": "nation", "where": op("gte", "n_regionkey", params["least"]), "group_by": {"fields": [["n_regionkey"]]}, "select": {"items": ["n_regionkey", {"type": "count_all", "alias": "n"}]}}).df)
+    return e.batch({"queries": {"c": {"call": "sizes", "params": {"least": 2}}}})["results"]["c"].extra["value"]
+
+
+@query("user_functions", "SELECT l_returnflag, sum(l_quantity * l_quantity) AS squares FROM lineitem WHERE 2 * l_linenumber + 1 > 5 GROUP BY 1")
+def _user_functions(spark, d):
+    e = engine(spark, d)
+    e.register_scalar("user/odd", lambda x: 2 * x + 1, 1)
+    e.register_aggregate("squares", lambda c: F.sum(c * c))
+    odd = {"op": "value_compare", "left": {"$fn": {"name": "user/odd", "args": [ref("l_linenumber")]}}, "cmp": "gt", "right": 5}
+    return e.read({"from": "lineitem", "where": odd, "group_by": {"fields": [["l_returnflag"]]}, "select": {"items": ["l_returnflag", {"type": "aggregate_fn", "name": "squares", "field": ["l_quantity"], "alias": "squares"}]}}).df
+
+
+@query("subscription_calls", "SELECT 'put' AS op, user_id::VARCHAR AS key, event_id AS commit_version FROM events WHERE event_type = 'purchase' AND value >= 400")
+def _subscription_calls(spark, d):
+    """A subscription that calls a procedure once per change row; the rows that it was called with."""
+    from .streaming import subscribe
+
+    e, called = engine(spark, d), []
+    e.register_procedure("seen", lambda own, params: params["k"])
+    rows = e.table("events").rows().where("event_type = 'purchase'")
+    changes = rows.select(F.lit("events").alias("table"), F.lit("put").alias("op"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("commit_version"), F.struct("value").alias("value"))
+    spec = {"subscribe": [{"table": "events", "filter": op("gte", "value", 400)}], "deliver": {"call": {"call": "seen", "params": {"k": {"$param": "$event.key"}}}}}
+    deliver = subscribe.reacting(e, {"deliver": {"call": spec["deliver"]["call"]}}, lambda row, value: called.append((row["op"], value, row["commit_version"])))
+    deliver(subscribe.matching(changes, spec).orderBy("commit_version"), 0)
+    return spark.createDataFrame(called, "op string, key string, commit_version long")
+
+
+@query("subscription_records", "SELECT event_id AS commit_version, CASE WHEN event_type <> 'purchase' THEN value END AS value FROM events WHERE event_type = 'purchase' OR value >= 90")
+def _subscription_records(spark, d):
+    from .streaming import subscribe
+
+    rows = engine(spark, d).table("events").rows()
+    changes = rows.select(F.lit("events").alias("table"), F.when(F.col("event_type") == "purchase", "delete").otherwise("put").alias("op"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("commit_version"), F.struct("value").alias("value"))
+    return subscribe.matching(changes, {"subscribe": [{"table": "events", "filter": op("gte", "value", 90)}], "deliver": "records"}).select("commit_version", F.col("value.value").alias("value"))
+
+
+# -- schemas on write, foreign keys
+
+
+@query("schema_codes", r"""
+    SELECT page_id, 'url' AS path, 'format' AS code FROM pages WHERE NOT regexp_matches(url, '^https?://')
+    UNION ALL SELECT page_id, 'url', 'min_len' FROM pages WHERE length(url) < 40
+    UNION ALL SELECT page_id, 'url', 'len' FROM pages WHERE length(url) <> 45
+    UNION ALL SELECT page_id, 'page_id', 'max' FROM pages WHERE page_id > 20
+    UNION ALL SELECT page_id, 'page_id', 'type' FROM pages
+    UNION ALL SELECT page_id, 'absent', 'required' FROM pages
+    UNION ALL SELECT page_id, 'short', 'nullable' FROM pages WHERE length(url) > 45
+    UNION ALL SELECT page_id, 'below', 'unsigned' FROM pages WHERE page_id < 10
+    UNION ALL SELECT page_id, 'marks', 'array_of' FROM pages""")
+def _codes(spark, d):
+    rows = engine(spark, d).table("pages").rows().select("page_id", "url", F.when(F.length("url") <= 45, F.col("url")).alias("short"), (F.col("page_id") - 10).alias("below"), F.array("page_id").alias("marks"))
+    rules = [
+        {"path": "url", "format": "url", "min_len": 40, "len": 45}, {"path": "page_id", "type": "string", "max": 20}, {"path": "absent", "required": True}, {"path": "short", "nullable": False}, {"path": "below", "unsigned": True},
+        {"path": "marks", "array_of": "string"},
+    ]
+    return schema.violations(rows, rules, "page_id")
+
+
+@query("schema_defaults", "SELECT n_nationkey::VARCHAR AS _id, n_name AS name, CASE WHEN n_regionkey = 1 THEN 'one' ELSE 'open' END AS state, 1000::BIGINT AS made, CASE WHEN n_regionkey = 1 THEN 2000 ELSE 1000 END::BIGINT AS changed FROM nation")
+def _defaults(spark, d):
+    kinds = T.StructType([T.StructField("name", T.StringType()), T.StructField("state", T.StringType()), T.StructField("made", T.LongType()), T.StructField("changed", T.LongType())])
+    rules = [{"path": "state", "default": "open"}, {"path": "made", "auto_now_add": True}, {"path": "changed", "auto_now": True}]
+    table = VersionedTable(spark, new_path(spark, "defaults"), kinds, rules)
+    rows = engine(spark, d).table("nation").rows()
+    table.insert(rows.select(F.col("n_nationkey").cast("string").alias("_id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("state")), now_ms=1000)
+    ones = [f"{r['n_name']}" for r in rows.where("n_regionkey = 1").collect()]
+    table.update({"op": "in", "field": ["name"], "values": ones}, {"state": "one"}, now_ms=2000)
+    return table.latest().drop("_version")
+
+
+def _keyed(spark: SparkSession, d: str, action: str) -> VersionedTable:
+    """Parts that refer to a table of sizes, of which some are to be deleted."""
+    child = _parts(spark, d)
+    sizes = VersionedTable(spark, new_path(spark, "sizes"), T.StructType([T.StructField("size", T.IntegerType())]))
+    sizes.insert(child.latest().select(F.col("p_size").alias("size")).distinct().withColumn("_id", F.col("size").cast("string")), now_ms=1000)
+    sizes.children.append(ForeignKey(child, "p_size", sizes, "size", action))
+    code = _code(lambda: sizes.delete(op("lt", "size", 15), now_ms=2000))
+    if code not in (None, "foreign_key_restrict"):
+        raise QueryError(code, action)
+    return child
+
+
+@query("foreign_key_restrict", PART_SQL)
+def _restrict(spark, d):
+    return _keyed(spark, d, "restrict").latest().drop("_version")
+
+
+@query("foreign_key_set_null", "SELECT p_partkey::VARCHAR AS _id, p_name, CASE WHEN p_size >= 15 THEN p_size END AS p_size FROM part")
+def _set_null(spark, d):
+    return _keyed(spark, d, "set_null").latest().drop("_version")
+
+
+# -- the functions and text operators of value expressions that the rows above leave out
+
+
+@query("expr_texts", "SELECT o_orderkey, lower(o_orderpriority) AS l, upper(o_orderpriority) AS u, trim(' ' || o_orderstatus || ' ') AS t, length(o_orderpriority) AS n, o_totalprice = 1 OR NOT o_totalprice <= 200000 AS b FROM orders")
+def _expr_texts(spark, d):
+    rows = engine(spark, d).table("orders").rows()
+    scope = Scope(rows)
+    made = lambda e, name: value(e, scope).c.alias(name)
+    price, priority = ref("o_totalprice"), ref("o_orderpriority")
+    return rows.select(
+        "o_orderkey", made(expr("lower", priority), "l"), made(expr("upper", priority), "u"), made(expr("trim", expr("concat", " ", ref("o_orderstatus"), " ")), "t"), made(expr("length", priority), "n"),
+        made(expr("or", expr("eq", price, 1), expr("not", expr("lte", price, 200000))), "b"),
+    )
+
+
+@query("fn_array_sums", "SELECT vec_id, round(list_sum(v), 6) AS s, round(list_avg(v), 6) AS a, list_min(v) AS low, list_max(v) AS high, list_reverse_sort(v)[1:3] AS top FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
+def _array_sums(spark, d):
+    e = engine(spark, d)
+    e.register("vectors", e.table("embeddings").rows().select("vec_id", F.col("embedding").cast("array<double>").alias("v")), id_col="vec_id")
+    v, fn = ref("v"), lambda name, *a: {"$fn": {"name": name, "args": list(a)}}
+    items = [call("arrays/sum", v, alias="s"), call("arrays/avg", v, alias="a"), call("arrays/min", v, alias="low"), call("arrays/max", v, alias="high"), call("arrays/slice", fn("arrays/sort_desc", v), 0, 3, alias="top")]
+    return e.read({"from": "vectors", "select": {"items": ["vec_id", *items]}}).df.withColumn("s", F.round("s", 6)).withColumn("a", F.round("a", 6))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grouped orders with HAVING."""
     return engine(spark, sf_dir).read(FLAGSHIP).df
