@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import Val
+from ..functions.stemmers import STEMMERS
 from ..functions.stemming import stem
 from ..plans.errors import QueryError
 
@@ -32,16 +33,19 @@ STOPWORDS = {
 }
 
 
-def _stemmed(words: Column) -> Column:
+def _stemmed(words: Column, language: str) -> Column:
+    one = {"english": stem, **STEMMERS}[language]
+
     def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+        known: dict[str, str] = {}  # words of a batch repeat
+        return rows.map(lambda ws: None if ws is None else [known[w] if w in known else known.setdefault(w, one(w)) for w in ws])
 
     return F.pandas_udf(run, "array<string>")(words)
 
 
 def tokens(c: Column, kind: str = "whitespace", n: int = 3, language: str = "english", stopwords: bool = True, stems: bool = False) -> Column:
     """A text's tokens: ``whitespace``, ``unicode`` (letter and digit runs), ``ngram`` or ``full``
-    (words, without the language's stop words if it has a list, and stemmed if asked: English only)."""
+    (words, without the language's stop words if it has a list, and stemmed if asked, in English and the languages of ``STEMMERS``)."""
     low = F.lower(c)
     split = F.regexp_extract_all(low, F.lit(r"(?U)\S+"), F.lit(0))
     if kind == "whitespace":
@@ -58,9 +62,9 @@ def tokens(c: Column, kind: str = "whitespace", n: int = 3, language: str = "eng
     if kind == "full":
         stop = STOPWORDS.get(language, []) if stopwords else []
         kept = F.filter(split, lambda w: ~w.isin(stop)) if stop else split
-        if stems and language != "english":
+        if stems and language not in ("english", *STEMMERS):
             raise QueryError("unsupported_language", language)
-        return _stemmed(kept) if stems else kept
+        return _stemmed(kept, language) if stems else kept
     raise QueryError("unknown_tokenizer", kind)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -383,6 +384,19 @@ def _crypto(spark, d):
     return e.read({"from": "raw", "select": {"items": ["doc_id", call("encode/hex_enc", {"$fn": {"name": "crypto/sha256", "args": [ref("b")]}}, alias="h")]}}).df
 
 
+@query("fn_crypto_vectors", """
+    SELECT 'a7ffc6f8bf1ed76651c14756a061d662f580ff4de43b49fa82d80a4b80f8434a' AS sha3, 'af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262' AS blake3,
+           '5bdcc146bf60754e6a042426089575c75a003f089d2739839dec58b964ec3843' AS hmac, 'fi 2' AS nfkc""")
+def _vectors(spark, d):
+    """Published test vectors of the digests that SQL lacks."""
+    e = Engine(spark)
+    rows = spark.createDataFrame([(1, b"", b"Jefe", b"what do ya want for nothing?", "\ufb01 \u00b2")], "_id long, e binary, k binary, m binary, t string")
+    e.register("vectors", rows)
+    hexed = lambda name, *a: {"$fn": {"name": "encode/hex_enc", "args": [{"$fn": {"name": name, "args": list(a)}}]}}
+    items = [call("strings/lower", hexed("crypto/sha3_256", ref("e")), alias="sha3"), call("strings/lower", hexed("crypto/blake3", ref("e")), alias="blake3"), call("strings/lower", hexed("crypto/hmac_sha256", ref("k"), ref("m")), alias="hmac"), call("text/normalize_nfkc", ref("t"), alias="nfkc")]
+    return e.read({"from": "vectors", "select": {"items": items}}).df
+
+
 @query("expr_operators", """
     SELECT l_orderkey, l_linenumber, l_linenumber + 1 AS a, l_linenumber - 1 AS s, l_orderkey * 2 AS m, l_quantity / l_linenumber AS d, l_orderkey % 3 AS r, -l_linenumber AS n,
            l_returnflag || l_linestatus AS c, l_quantity > 10 AND l_tax < 0.04 AS b FROM lineitem""")
@@ -433,6 +447,21 @@ def _full(spark, d):
     return engine(spark, d).table("conversations").rows().select("conv_id", "turn", fts.tokens(F.col("text"), "full").alias("t"))
 
 
+#: Words and their stems as the algorithms are published.
+STEMS = {
+    "danish": ("undersøgelse undersøger", "undersøg undersøg"), "dutch": ("lichamelijkheden opgingen brieven", "licham opging briev"), "english": ("consigned nationality hopping", "consign nation hop"),
+    "french": ("continuellement majestueusement chevaux activité", "continuel majestu cheval activ"), "german": ("aufeinanderfolge kategorisch häuser", "aufeinanderfolg kategor haus"),
+    "italian": ("abbandonata abbandonerò propaganda", "abbandon abbandon propagand"), "norwegian": ("havnedistriktets opninga", "havnedistrikt opning"), "portuguese": ("boiando quilométricos felizmente", "boi quilométr feliz"),
+    "russian": ("важнейшие важности вавиловка", "важн важност вавиловк"), "spanish": ("chicharrones toreado rápidamente", "chicharron tor rapid"), "swedish": ("jaktkarlarne klostergården", "jaktkarl klostergård"),
+}
+
+
+@query("tokens_stemmed", "SELECT language, string_split(w, ' ') AS t FROM (VALUES " + ", ".join(f"('{k}', '{v[1]}')" for k, v in STEMS.items()) + ") AS s(language, w)")
+def _stemmed(spark, d):
+    parts = [spark.createDataFrame([(k, v[0])], "language string, w string").select("language", fts.tokens(F.col("w"), "full", language=k, stems=True).alias("t")) for k, v in STEMS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("tokens_ngram", "SELECT p_partkey, CASE WHEN length(p_brand) <= 3 THEN [lower(p_brand)] ELSE list_transform(range(1, length(p_brand) - 1), lambda i: substr(lower(p_brand), i, 3)) END AS t FROM part")
 def _ngram(spark, d):
     return engine(spark, d).table("part").rows().select("p_partkey", fts.tokens(F.col("p_brand"), "ngram", 3).alias("t"))
@@ -812,7 +841,7 @@ def _user_functions(spark, d):
     return e.read({"from": "lineitem", "where": odd, "group_by": {"fields": [["l_returnflag"]]}, "select": {"items": ["l_returnflag", {"type": "aggregate_fn", "name": "squares", "field": ["l_quantity"], "alias": "squares"}]}}).df
 
 
-@query("subscription_calls", "SELECT 'put' AS op, user_id::VARCHAR AS key, event_id AS commit_version FROM events WHERE event_type = 'purchase' AND value >= 400")
+@query("subscription_calls", "SELECT 'put' AS op, user_id::VARCHAR AS key, event_id AS commit_version FROM events WHERE event_type = 'purchase' AND value >= 250")
 def _subscription_calls(spark, d):
     """A subscription that calls a procedure once per change row; the rows that it was called with."""
     from .streaming import subscribe
@@ -821,7 +850,7 @@ def _subscription_calls(spark, d):
     e.register_procedure("seen", lambda own, params: params["k"])
     rows = e.table("events").rows().where("event_type = 'purchase'")
     changes = rows.select(F.lit("events").alias("table"), F.lit("put").alias("op"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("commit_version"), F.struct("value").alias("value"))
-    spec = {"subscribe": [{"table": "events", "filter": op("gte", "value", 400)}], "deliver": {"call": {"call": "seen", "params": {"k": {"$param": "$event.key"}}}}}
+    spec = {"subscribe": [{"table": "events", "filter": op("gte", "value", 250)}], "deliver": {"call": {"call": "seen", "params": {"k": {"$param": "$event.key"}}}}}
     deliver = subscribe.reacting(e, {"deliver": {"call": spec["deliver"]["call"]}}, lambda row, value: called.append((row["op"], value, row["commit_version"])))
     deliver(subscribe.matching(changes, spec).orderBy("commit_version"), 0)
     return spark.createDataFrame(called, "op string, key string, commit_version long")
