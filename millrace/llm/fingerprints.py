@@ -165,8 +165,8 @@ _ZSTD = {}
 
 def _zstd():
     if not _ZSTD:
-        _ZSTD["c"], _ZSTD["d"] = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-    return _ZSTD["c"], _ZSTD["d"]
+        _ZSTD["c"], _ZSTD["d"], _ZSTD["text"] = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+    return _ZSTD["c"], _ZSTD["d"], _ZSTD["text"]
 
 
 def _planes(values: np.ndarray) -> tuple[int, bytes]:
@@ -230,8 +230,8 @@ def unbundle(blob: bytes) -> list[bytes]:
 
 
 def squeeze(array: np.ndarray) -> bytes:
-    """An array's bytes, compressed."""
-    return _zstd()[0].compress(np.ascontiguousarray(array).tobytes())
+    """An array's bytes, compressed as text is: harder than fingerprints."""
+    return _zstd()[2].compress(np.ascontiguousarray(array).tobytes())
 
 
 def stretch(data: bytes, kind, *shape: int) -> np.ndarray:
