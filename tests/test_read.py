@@ -191,17 +191,19 @@ def stages(spark, store):
     return [found.apply(i) for i in range(found.size())]
 
 
-def test_posting_index_traffic(spark, tmp_path):
+@pytest.mark.parametrize("kind", ["whitespace", "unicode"])
+def test_posting_index_traffic(spark, tmp_path, kind):
     """A posting is shuffled once and packed: building moves and writes less than two and a half times the texts."""
     pick = np.random.default_rng(3)
     texts = [" ".join(f"w{x}" for x in (pick.zipf(1.3, 250) % 4000).tolist()) for _ in range(600)]
     t = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
     store = spark.sparkContext._jsc.sc().statusStore()
     seen = {s.stageId() for s in stages(spark, store)}
-    fts.PostingIndex.build(t, f"file://{tmp_path}/p", "id", "body")
+    index = fts.PostingIndex.build(t, f"file://{tmp_path}/p", "id", "body", kind)
     done = [s for s in stages(spark, store) if s.stageId() not in seen]
     moved = sum(s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in done)
     assert 0 < moved < 2.5 * sum(map(len, texts))
+    assert index.ranked("w2 w77").collect() == fts.ranked(t, "w2 w77", "id", "body", kind=kind).collect()
 
 
 def test_posting_index_writers(spark, tmp_path, monkeypatch):
